@@ -57,7 +57,7 @@ def write_whole(uri: str, writer) -> int:
     return size
 
 
-def bound_batches(spark: SparkSession, limit: str = "16m") -> None:
+def bound_batches(spark: SparkSession, limit: str = "8m") -> None:
     """Lets Arrow batches that go to Python end at so many bytes, not only at a number of rows, unless the session already has a bound."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     if int(spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key))) >= 2**31 - 1:

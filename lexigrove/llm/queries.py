@@ -38,11 +38,25 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharded(_table(spark, sf_dir, "documents"))
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexigrove.llm.warc import archive_round_trip
+
+    return archive_round_trip(spark, _table(spark, sf_dir, "pages"))
+
+
+def op10_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexigrove.llm.ann import search
+
+    return search(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 QUERIES = {
     "op1_fingerprints": op1_fingerprints,
     "op3_token_store": op3_token_store,
     "op4_mixing": op4_mixing,
     "op5_sharding": op5_sharding,
+    "op8_warc": op8_warc,
+    "op10_search": op10_search,
 }
 
 
