@@ -16,6 +16,12 @@ def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_pairs(_table(spark, sf_dir, "documents"))
 
 
+def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexigrove.llm.minhash import near_duplicates
+
+    return near_duplicates(_table(spark, sf_dir, "documents")).select("doc_id", "class_id")
+
+
 def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -38,12 +44,33 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharded(_table(spark, sf_dir, "documents"))
 
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexigrove.llm.packing import packed
+
+    return packed(_table(spark, sf_dir, "documents"))
+
+
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexigrove.llm.licenses import license_scan
+
+    return license_scan(_table(spark, sf_dir, "documents"))
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lexigrove.llm.warc import archive_round_trip
 
     return archive_round_trip(spark, _table(spark, sf_dir, "pages"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexigrove.llm.toxicity import fitted, held_out, scored
+
+    docs = _table(spark, sf_dir, "documents")
+    model = fitted(docs, _table(spark, sf_dir, "labels"))
+    rows = scored(docs.select("doc_id", "text"), model)
+    return rows.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= 0.5).cast("int").alias("predicted"))
+
+
 def op10_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lexigrove.llm.ann import search
 
@@ -52,10 +79,14 @@ def op10_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_fingerprints": op1_fingerprints,
+    "op2_near_duplicates": op2_near_duplicates,
     "op3_token_store": op3_token_store,
     "op4_mixing": op4_mixing,
     "op5_sharding": op5_sharding,
+    "op6_packing": op6_packing,
+    "op7_licenses": op7_licenses,
     "op8_warc": op8_warc,
+    "op9_toxicity": op9_toxicity,
     "op10_search": op10_search,
 }
 
