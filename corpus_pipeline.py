@@ -26,8 +26,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    rows = mixed(keep(drawn(docs), "mix"))
-    return rows.where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+    base = ["doc_id", "source", "text"]
+    rest = [c for c in docs.columns if c not in base]  # set apart, as their names may be those of the mix
+    rows = mixed(keep(drawn(docs.select(*base, F.struct(F.lit(0).alias("no"), *rest).alias("other columns"))), "mix"))
+    rows = rows.where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    return rows.select(*(F.col(c) if c in base else F.col(f"`other columns`.`{c}`").alias(c) for c in docs.columns))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -7,7 +7,20 @@ import posixpath
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: What a null id is while rows are ordered, joined or stored.
+NULL_ID = -(2**63)
+
+
+def id_of(column: Column) -> Column:
+    return F.coalesce(column.cast("long"), F.lit(NULL_ID))
+
+
+def id_back(column: Column) -> Column:
+    return F.when(column != NULL_ID, column)
+
 
 
 def shared_dir(spark: SparkSession) -> str:

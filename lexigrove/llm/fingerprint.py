@@ -10,7 +10,7 @@ Defined cases: a null text is an empty text; an empty text, and one of fewer
 than three bytes, has the digest of no triplets and its length; equal texts
 have equal digests; a corpus of one document is its own next document; rows
 that repeat a doc_id are ordered by the hash of their text; further columns
-are ignored.
+are ignored; a null doc_id is below all others.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lexigrove.llm import _text
-from lexigrove.llm._store import bound_batches
+from lexigrove.llm._store import bound_batches, id_back, id_of
 
 BUCKETS = 256
 #: The distance at and beyond which two digests count as wholly unlike.
@@ -137,7 +137,7 @@ def edited_pairs(docs: DataFrame) -> DataFrame:
     round from the last to the first.
     """
     bound_batches(docs.sparkSession)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    docs = docs.select(id_of(F.col("doc_id")).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     by_range = Window.partitionBy("range").orderBy("guest", F.desc("doc_id"), "tie")
     rows = with_next(docs).withColumn("tie", F.xxhash64("text"))
     n = F.char_length("text")
@@ -149,7 +149,7 @@ def edited_pairs(docs: DataFrame) -> DataFrame:
     rows = rows.select("doc_id", "range", "guest", "tie", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), fingerprint(F.col("text")).alias("fingerprint"), fingerprint(F.col("edited")).alias("edited_fingerprint"))
     rows = rows.withColumn("next_fingerprint", F.lead("fingerprint").over(by_range)).where("guest = 0")
     return rows.select(
-        "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
+        id_back(F.col("doc_id")).alias("doc_id"), "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
         compare(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),
         compare(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"),
     )

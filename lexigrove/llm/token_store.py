@@ -11,7 +11,8 @@ each checked against its own checksum.
 
 Defined cases: a null or empty text is the end id alone; rows that repeat a
 doc_id are kept, ordered by their text; a single very long document is one
-frame; an empty table has no files and no rows; further columns are ignored.
+frame; an empty table has no files and no rows; further columns are ignored; a
+null doc_id comes before all others.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexigrove.llm import _text
-from lexigrove.llm._store import bound_batches, filesystem, make_dir, new_path, write_whole
+from lexigrove.llm._store import NULL_ID, bound_batches, filesystem, id_of, make_dir, new_path, write_whole
 
 END_ID = 2
 FRAME_BYTES = 1 << 20
@@ -291,7 +292,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, *, end_id: int = EN
         size = write_whole(f"{path}/{name}", fill)
         yield pa.RecordBatch.from_pydict({"part": [part], "file": [f"{path}/{name}"], "docs": [documents], "tokens": [tokens], "bytes": [size]}, schema=pa.schema([("part", pa.int32()), ("file", pa.string()), ("docs", pa.int64()), ("tokens", pa.int64()), ("bytes", pa.int64())]))
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    texts = docs.select(id_of(F.col("doc_id")).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     in_order = texts.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
     written = in_order.mapInArrow(write, "part int, file string, docs long, tokens long, bytes long")
     manifest = f"{path}/manifest.parquet"
@@ -318,7 +319,7 @@ def read_tokens(manifest: DataFrame, with_ids: bool = False) -> DataFrame:
                 for a in range(0, len(reader.index), 512):
                     own = range(a, min(a + 512, len(reader.index)))
                     ids = [reader.ids(i) for i in own]
-                    got = {"doc_id": reader.index["doc_id"][own.start : own.stop], "start": base + reader.start[own.start : own.stop], "n_tokens": [len(x) for x in ids], "ids_crc32": [zlib.crc32(x.tobytes()) for x in ids]}
+                    got = {"doc_id": [None if d == NULL_ID else d for d in reader.index["doc_id"][own.start : own.stop].tolist()], "start": base + reader.start[own.start : own.stop], "n_tokens": [len(x) for x in ids], "ids_crc32": [zlib.crc32(x.tobytes()) for x in ids]}
                     if with_ids:
                         got["ids"] = [x.astype(np.int64) for x in ids]
                     yield pa.RecordBatch.from_pydict(got, schema=pa.schema(schema))

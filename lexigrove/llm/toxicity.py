@@ -241,12 +241,12 @@ def fitted(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     table = table.sort_by([("doc_id", "ascending"), ("words", "ascending")])
     seen: set = set()
     keep = [i for i, d in enumerate(table.column("doc_id").to_pylist()) if not (d in seen or seen.add(d))]  # one row of a repeated doc_id
-    table = table.take(keep)
+    table = table.take(pa.array(keep, pa.int64()))
     return train([np.frombuffer(x, dtype=np.uint64) for x in table.column("words").to_pylist()], np.array(table.column("toxic").to_pylist(), dtype=np.float64) > 0, table.column("lang").to_pylist())
 
 
-def scored(docs: DataFrame, model: Model) -> DataFrame:
-    """All rows of docs with ``toxicity``, the score of their whole text."""
+def scored(docs: DataFrame, model: Model, name: str = "toxicity") -> DataFrame:
+    """All rows of docs with the score of their whole text under a name that docs has not."""
     bound_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast((model, model.tables()))
     names = docs.columns
@@ -256,9 +256,9 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             for part in _text.chunks(batch, "text"):
                 row, hashes = words(*_text.buffers(part.column("text")))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(scores(own, tables, row, hashes, part.num_rows), pa.float64())], [*names, "toxicity"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(scores(own, tables, row, hashes, part.num_rows), pa.float64())], [*names, name])
 
-    schema = docs.select(*docs.columns).schema.add("toxicity", "double")
+    schema = docs.select(*docs.columns).schema.add(name, "double")
     return docs.mapInArrow(score, schema)
 
 
@@ -266,4 +266,5 @@ def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows whose score is under the threshold of their language."""
     model = fitted(docs, labels)
     limit = F.coalesce(*(F.when(F.col("lang") == k, F.lit(v)) for k, v in sorted(model.thresholds.items())), F.lit(0.5))
-    return scored(docs, model).where(F.col("toxicity") < limit).drop("toxicity")
+    name = next(n for k in range(len(docs.columns) + 1) if (n := "toxicity" + "_" * k) not in docs.columns)
+    return scored(docs, model, name).where(F.col(name) < limit).drop(name)
