@@ -142,7 +142,7 @@ def train(texts: list[np.ndarray], labels: np.ndarray, languages: list[str | Non
     first, second = [np.zeros_like(p) for p in parts], [np.zeros_like(p) for p in parts]
     offset_moments = [0.0, 0.0]
     model.offset = float(np.log(positive / (n - positive)))
-    slots_of = [model.slots(t) for t in texts]
+    slots_of = [model.slots(t).astype(np.int32) for t in texts]
     step = 0
     for _ in range(EPOCHS):
         shuffled = rng.permutation(used)
@@ -238,11 +238,18 @@ def fitted(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 
     kinds = dict(docs.dtypes)
     table = rows.mapInArrow(read, f"doc_id {kinds['doc_id']}, lang string, toxic {dict(labels.dtypes)['toxic']}, words binary").toArrow()
-    table = table.sort_by([("doc_id", "ascending"), ("words", "ascending")])
-    seen: set = set()
-    keep = [i for i, d in enumerate(table.column("doc_id").to_pylist()) if not (d in seen or seen.add(d))]  # one row of a repeated doc_id
-    table = table.take(pa.array(keep, pa.int64()))
-    return train([np.frombuffer(x, dtype=np.uint64) for x in table.column("words").to_pylist()], np.array(table.column("toxic").to_pylist(), dtype=np.float64) > 0, table.column("lang").to_pylist())
+    raw, at = _text.buffers(table.column("words"))  # one copy of the words; texts are views of it
+    chosen_rows: dict = {}
+    for i, doc_id in enumerate(table.column("doc_id").to_pylist()):
+        own = raw[at[i] : at[i + 1]]
+        other = chosen_rows.get(doc_id)
+        if other is None or own.tobytes() < raw[at[other] : at[other + 1]].tobytes():  # one row of a repeated doc_id
+            chosen_rows[doc_id] = i
+    order = [chosen_rows[d] for d in sorted(chosen_rows)]
+    toxic, langs = table.column("toxic").to_pylist(), table.column("lang").to_pylist()
+    del table
+    pa.default_memory_pool().release_unused()
+    return train([raw[at[i] : at[i + 1]].view(np.uint64) for i in order], np.array([toxic[i] for i in order], dtype=np.float64) > 0, [langs[i] for i in order])
 
 
 def scored(docs: DataFrame, model: Model, name: str = "toxicity") -> DataFrame:
