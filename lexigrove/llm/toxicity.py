@@ -9,8 +9,9 @@ logistic unit weighs those. Scores are shifted so that 0.5 is the best
 threshold on validation rows; on the same rows a threshold is calibrated for each language,
 which only decides and never scores.
 
-Training uses at most SAMPLE labelled rows, those of lowest hash; scoring
-reads every whole text. As a table of what each slot adds to each filter is computed
+Training uses at most SAMPLE labelled rows, those of lowest hash; their words are
+written to the shared folder and the driver reads them a few texts at a time, keeping two
+bytes a word. Scoring reads every whole text. As a table of what each slot adds to each filter is computed
 once, scoring is a few table lookups a word.
 
 Defined cases: null and empty texts, and texts without letters, have the score of
@@ -21,16 +22,19 @@ only, all scores are that share, kept under 0.5 without any; further columns are
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexigrove.llm import _text
-from lexigrove.llm._store import bound_batches
+from lexigrove.llm._store import bound_batches, filesystem, new_path
 
 SAMPLE = 8000
 SLOTS = 1 << 15
@@ -90,12 +94,12 @@ def _laid_out(slots: np.ndarray, row: np.ndarray, rows: int) -> tuple[np.ndarray
     return out, start, place
 
 
-def scores(model: Model, tables: list[list[np.ndarray]], row: np.ndarray, hashes: np.ndarray, rows: int) -> np.ndarray:
-    """Of each text, from its words."""
+def scores(model: Model, tables: list[list[np.ndarray]], row: np.ndarray, slots: np.ndarray, rows: int) -> np.ndarray:
+    """Of each text, from the slots of its words."""
     pooled = np.zeros((rows, len(WIDTHS) * FILTERS), dtype=np.float64)
     if len(row):
         # a window of unknown words responds alike everywhere: only windows with a known word, and the first of each text, need a look
-        slots, start, place = _laid_out(model.slots(hashes), row, rows)
+        slots, start, place = _laid_out(slots, row, rows)
         known = slots < SLOTS
         first = np.zeros(len(slots), dtype=bool)
         first[start] = True
@@ -118,10 +122,26 @@ def scores(model: Model, tables: list[list[np.ndarray]], row: np.ndarray, hashes
     return 1 / (1 + np.exp(-np.clip(pooled @ model.weight + model.offset, -30, 30)))
 
 
-def train(texts: list[np.ndarray], labels: np.ndarray, languages: list[str | None], seed: int = 11) -> Model:
-    """texts: the word hashes of each labelled text."""
+def vocabulary(texts: Iterable[np.ndarray]) -> np.ndarray:
+    """The words of LEAST_DOCS texts or more, rarest first. Texts are counted a few at a time."""
+    known, count, held, size = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64), [], 0
+    for t in chain(texts, [None]):
+        if t is not None:
+            held.append(np.unique(t))
+            size += len(held[-1])
+        if held and (t is None or size >= 1 << 18):
+            more, n = np.unique(np.concatenate(held), return_counts=True)
+            known, place = np.unique(np.concatenate([known, more]), return_inverse=True)
+            count = np.bincount(place, np.concatenate([count, n]), len(known)).astype(np.int64)
+            held, size = [], 0
+    known, count = known[count >= LEAST_DOCS], count[count >= LEAST_DOCS]
+    return known[np.argsort(count, kind="stable")]
+
+
+def train(texts: Callable[[], Iterable[np.ndarray]], labels: np.ndarray, languages: list[str | None], seed: int = 11) -> Model:
+    """texts: gives the word hashes of each labelled text, in the order of labels, as often as it is called."""
     rng = np.random.default_rng(seed)
-    n = len(texts)
+    n = len(labels)
     owner = np.zeros(SLOTS, dtype=np.uint64)
     model = Model(owner, rng.normal(0, 0.1, (SLOTS + 2, DIM)), [rng.normal(0, 0.3, (w, DIM, FILTERS)) for w in WIDTHS], np.zeros(len(WIDTHS) * FILTERS), rng.normal(0, 0.1, len(WIDTHS) * FILTERS), 0.0)
     model.embedding[SLOTS:] = 0
@@ -132,17 +152,15 @@ def train(texts: list[np.ndarray], labels: np.ndarray, languages: list[str | Non
         model.weight[:] = 0
         model.offset = float(np.log(share / (1 - share)))
         return model
-    vocabulary, count = np.unique(np.concatenate([np.unique(t) for t in texts]), return_counts=True)
-    vocabulary, count = vocabulary[count >= LEAST_DOCS], count[count >= LEAST_DOCS]
-    for word in vocabulary[np.argsort(count, kind="stable")]:  # the commonest claims a slot last
+    for word in vocabulary(texts()):  # the commonest claims a slot last
         owner[int(word) & (SLOTS - 1)] = word
+    slots_of = [model.slots(t).astype(np.uint16) for t in texts()]
     order = rng.permutation(n)
     held, used = order[: n // VALIDATION], order[n // VALIDATION :]
     parts = [model.embedding, *model.filters, model.bias, model.weight]
     first, second = [np.zeros_like(p) for p in parts], [np.zeros_like(p) for p in parts]
     offset_moments = [0.0, 0.0]
     model.offset = float(np.log(positive / (n - positive)))
-    slots_of = [model.slots(t).astype(np.int32) for t in texts]
     step = 0
     for _ in range(EPOCHS):
         shuffled = rng.permutation(used)
@@ -158,7 +176,7 @@ def train(texts: list[np.ndarray], labels: np.ndarray, languages: list[str | Non
             model.embedding[SLOTS + 1] = 0
             offset_moments = [0.9 * offset_moments[0] + 0.1 * offset_grad, 0.999 * offset_moments[1] + 0.001 * offset_grad**2]
             model.offset -= RATE * (offset_moments[0] / (1 - 0.9**step)) / (np.sqrt(offset_moments[1] / (1 - 0.999**step)) + 1e-8)
-    _calibrate(model, [texts[i] for i in held], labels[held], [languages[i] for i in held])
+    _calibrate(model, [slots_of[i] for i in held], labels[held], [languages[i] for i in held])
     return model
 
 
@@ -204,11 +222,11 @@ def _best_threshold(score: np.ndarray, label: np.ndarray) -> float:
     return float((score[order[k]] + after) / 2)
 
 
-def _calibrate(model: Model, texts: list[np.ndarray], labels: np.ndarray, languages: list[str | None]) -> None:
-    if not len(texts) or not labels.any():
+def _calibrate(model: Model, slots: list[np.ndarray], labels: np.ndarray, languages: list[str | None]) -> None:
+    if not len(slots) or not labels.any():
         return
-    row = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
-    found = scores(model, model.tables(), row, np.concatenate(texts), len(texts))
+    row = np.repeat(np.arange(len(slots)), [len(t) for t in slots])
+    found = scores(model, model.tables(), row, np.concatenate(slots), len(slots))
     best = min(max(_best_threshold(found, labels), 1e-6), 1 - 1e-6)
     model.offset -= float(np.log(best / (1 - best)))
     odds = found / (1 - found) * (1 - best) / best
@@ -237,19 +255,30 @@ def fitted(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("doc_id", "lang", "toxic")), pa.array([hashes[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary())], ["doc_id", "lang", "toxic", "words"])
 
     kinds = dict(docs.dtypes)
-    table = rows.mapInArrow(read, f"doc_id {kinds['doc_id']}, lang string, toxic {dict(labels.dtypes)['toxic']}, words binary").toArrow()
-    raw, at = _text.buffers(table.column("words"))  # one copy of the words; texts are views of it
-    chosen_rows: dict = {}
-    for i, doc_id in enumerate(table.column("doc_id").to_pylist()):
-        own = raw[at[i] : at[i + 1]]
-        other = chosen_rows.get(doc_id)
-        if other is None or own.tobytes() < raw[at[other] : at[other + 1]].tobytes():  # one row of a repeated doc_id
-            chosen_rows[doc_id] = i
-    order = [chosen_rows[d] for d in sorted(chosen_rows)]
-    toxic, langs = table.column("toxic").to_pylist(), table.column("lang").to_pylist()
-    del table
-    pa.default_memory_pool().release_unused()
-    return train([raw[at[i] : at[i + 1]].view(np.uint64) for i in order], np.array([toxic[i] for i in order], dtype=np.float64) > 0, [langs[i] for i in order])
+    read_rows = rows.mapInArrow(read, f"doc_id {kinds['doc_id']}, lang string, toxic {dict(labels.dtypes)['toxic']}, words binary")
+    # one row of a repeated doc_id, chosen before any of them leaves its executor
+    path = new_path(docs.sparkSession, "training")
+    read_rows.groupBy("doc_id").agg(F.min(F.struct("words", "lang", "toxic")).alias("row")).select("doc_id", "row.*").repartitionByRange(1, "doc_id").sortWithinPartitions("doc_id").write.parquet(path)
+    toxic, langs = [], []
+    for batch in _batches(path, ["lang", "toxic"]):
+        langs += batch.column("lang").to_pylist()
+        toxic += batch.column("toxic").to_pylist()
+
+    def texts() -> Iterator[np.ndarray]:
+        for batch in _batches(path, ["words"]):
+            raw, at = _text.buffers(batch.column("words"))
+            yield from (raw[a:b].view(np.uint64) for a, b in zip(at[:-1], at[1:], strict=True))
+
+    return train(texts, np.array(toxic, dtype=np.float64) > 0, langs)
+
+
+def _batches(path: str, columns: list[str], rows: int = 64) -> Iterator[pa.RecordBatch]:
+    """The rows of a written table, a few at a time, so that the driver holds no whole column of words."""
+    store, folder = filesystem(path)
+    for info in sorted(store.get_file_info(fs.FileSelector(folder)), key=lambda x: x.path):
+        if info.path.endswith(".parquet"):
+            with pq.ParquetFile(info.path, filesystem=store) as f:
+                yield from f.iter_batches(rows, columns=columns)
 
 
 def scored(docs: DataFrame, model: Model, name: str = "toxicity") -> DataFrame:
@@ -263,7 +292,7 @@ def scored(docs: DataFrame, model: Model, name: str = "toxicity") -> DataFrame:
         for batch in batches:
             for part in _text.chunks(batch, "text"):
                 row, hashes = words(*_text.buffers(part.column("text")))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(scores(own, tables, row, hashes, part.num_rows), pa.float64())], [*names, name])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(scores(own, tables, row, own.slots(hashes), part.num_rows), pa.float64())], [*names, name])
 
     schema = docs.select(*docs.columns).schema.add(name, "double")
     return docs.mapInArrow(score, schema)
