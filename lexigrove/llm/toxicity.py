@@ -38,9 +38,9 @@ from lexigrove.llm._store import bound_batches, filesystem, new_path
 
 SAMPLE = 8000
 SLOTS = 1 << 15
-DIM = 8
+DIM = 16
 WIDTHS = (1, 2, 3)
-FILTERS = 8
+FILTERS = 16
 LEAST_DOCS = 4
 EPOCHS = 8
 RATE = 0.01
