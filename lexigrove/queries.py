@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexigrove.functions import html, urls
@@ -388,9 +388,9 @@ def doc_freq(spark, d):
 
 @query(f"WITH {_S} SELECT token, cf, df, doc_id, tf, round(norm_tf, 6) AS norm_tf FROM p JOIN s USING (token)")
 def inverted_index(spark, d):
+    # statistics are summed before they are shuffled, and a join of skewed tokens can be split; a window would hold all postings of a token in one task
     posted = _postings(spark, d)
-    w = Window.partitionBy("token")  # one shuffle by token gives both statistics
-    return posted.select("token", F.sum("tf").over(w).alias("cf"), F.count("*").over(w).alias("df"), "doc_id", "tf", F.round("norm_tf", 6).alias("norm_tf"))
+    return posted.join(I.terms(posted), "token").select("token", "cf", "df", "doc_id", "tf", F.round("norm_tf", 6).alias("norm_tf"))
 
 
 @query(f"WITH {_T} SELECT token, doc_id, string_agg(CAST(pos AS VARCHAR), ' ' ORDER BY pos) AS positions FROM t GROUP BY ALL")
