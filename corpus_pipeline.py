@@ -39,7 +39,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("toxicity", toxicity), ("near_duplicates", near_duplicates), ("mixing", mixing), ("packing", packing)]
 
-#: SQL can express neither the classifier nor the signatures; tests/llm hold the stages against brute force.
+#: SQL can express neither the classifier nor the signatures; tests/llm hold their operators against brute force or held-out accuracy.
 ORACLE_SQL = None
 
 
