@@ -102,6 +102,33 @@ def test_near_duplicates_residual(spark):
     assert {r.doc_id: r.class_id for r in got.collect()} == brute_classes(texts)
 
 
+def test_near_duplicates_repeated_lines(spark):
+    """Texts whose shingle sets are alike are linked however often one of them repeats a line."""
+    texts = {}
+    for i in range(12):
+        words = " ".join(f"a{i}_{k}" for k in range(100))
+        lines = [" ".join(f"b{i}_{v}_{k}" for k in range(12)) for v in range(2)]
+        texts[10 * i] = words
+        texts[10 * i + 1] = words + f" {lines[0]}" * 1000
+        if i % 2:  # a bucket of texts that are unlike each other by weight
+            texts[10 * i + 2] = words + f" {lines[0]}" * 3 + " x y z"
+            texts[10 * i + 3] = words + f" {lines[1]}" * 500
+    got = minhash.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string"))
+    assert {r.doc_id: r.class_id for r in got.collect()} == brute_classes(texts)
+
+
+def test_agreement():
+    """Sets of registers of either weighting are compared, and buckets in common are those of any."""
+    row, element, count = np.zeros(100, dtype=np.int64), np.arange(1, 101, dtype=np.uint64), np.ones(100, dtype=np.int64)
+    often = np.where(element <= 10, 5000, 1)
+    kept, plain, repeats = minhash.both_registers(np.append(row, row + 1), np.append(element, element), np.append(count, often), 2)
+    shape = (minhash.BANDS, minhash.ROWS)
+    assert repeats.tolist() == [False, True] and (kept[0] == plain[0]).all() and (plain[0] == plain[1]).all()
+    assert (kept[0] == kept[1]).mean() < minhash.FLOOR
+    near, shared = minhash.agreement(kept[0].reshape(shape), plain[0].reshape(shape), False, kept[1:].reshape(1, *shape), plain[1:].reshape(1, *shape), repeats[1:])
+    assert near.tolist() == [1.0] and shared.all()
+
+
 def test_similarity():
     a, b = np.array([1, 2, 3], dtype=np.uint64), np.array([2, 3, 4], dtype=np.uint64)
     one = np.ones(3, dtype=np.uint32)
