@@ -1,7 +1,7 @@
 """License scans by conditional compression.
 
-Lines that hold a cue word are candidate blocks; a longer line gives a window
-of words around each run of cues. A block is compressed with each template as
+A window of words around each run of cue words is a candidate block; line breaks and
+comment marks are no words, so a notice may be wrapped. A block is compressed with each template as
 zstandard raw dictionary; templates are ranked by the bytes this saves. The leaders
 are compared with the block word by word, and one wins if its wording is all there
 but for few words; the result lists exactly which words differ.
@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import difflib
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import cache
 
@@ -41,9 +42,8 @@ TEMPLATES = {
     "mit-grant": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction.",
     "mpl-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
 }
-CUES = r"(?i)licen[sc]e|copyright|rights reserved|redistribut|permission is|waived all|CC BY"
+CUES = r"(?i)licen[sc]e|copyright|rights\W+reserved|redistribut|permission\W+is|waived\W+all|CC\W+BY"
 WINDOW = 60
-LONG = 200
 LEADERS = 3
 LEAST_SHARE = 0.8
 
@@ -63,20 +63,14 @@ def _packers() -> dict[str, tuple[zstandard.ZstdCompressor, list[str]]]:
 
 def blocks(text: str) -> Iterator[tuple[int, str]]:
     """(start, block) of the candidates of a text."""
-    at = 0
-    for line in text.split("\n"):
-        if _CUE.search(line):
-            marks = list(re.finditer(r"\S+", line)) if len(line) > LONG else []
-            if len(marks) <= WINDOW:
-                yield at, line
-            else:
-                until = -1
-                hits = [i for i, m in enumerate(marks) if _CUE.search(line, max(0, m.start() - 8), m.end() + 8)]
-                for i in hits:
-                    if i > until:
-                        a, until = max(0, i - WINDOW // 2), min(len(marks) - 1, i + WINDOW)
-                        yield at + marks[a].start(), line[marks[a].start() : marks[until].end()]
-        at += len(line) + 1
+    marks = list(_WORD.finditer(text))
+    starts = [m.start() for m in marks]
+    until = -1
+    for cue in _CUE.finditer(text):
+        i = bisect_right(starts, cue.start()) - 1
+        if i > until:
+            a, until = max(0, i - WINDOW // 2), min(len(marks) - 1, i + WINDOW)
+            yield marks[a].start(), text[marks[a].start() : marks[until].end()]
 
 
 def judged(block: str) -> tuple[str, int, int, list[str], list[str]] | None:

@@ -254,6 +254,23 @@ def test_licenses(odd, none):
     assert [licenses.judged(b)[0] for _, b in licenses.blocks(long)] == ["mit"]
 
 
+def wrapped(text, width, mark):
+    lines, line = [], ""
+    for w in text.split():
+        if line and len(line) + len(w) >= width:
+            lines, line = [*lines, line], ""
+        line = f"{line} {w}".strip()
+    return "".join(f"{mark}{x}\n" for x in [*lines, line])
+
+
+@pytest.mark.parametrize("mark", ["", "# ", " * "])
+def test_licenses_wrapped(spark, mark):
+    """A notice is found whole wherever its lines break, also within a cue."""
+    texts = [(i, f"{mark}One.\n{wrapped(t, width, mark)}{mark}Two.\n", name) for i, (name, t, width) in enumerate((n, t, w) for n, t in licenses.TEMPLATES.items() for w in (1, 20, 44, 72))]
+    got = licenses.license_scan(spark.createDataFrame(texts, "doc_id long, text string, name string")).collect()
+    assert sorted((r.doc_id, r.license, r.differing_words) for r in got) == [(i, name, 0) for i, _, name in texts]
+
+
 def test_warc(spark, sf):
     pages = {r.page_id: r for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
     got = {r.page_id: r for r in queries.op8_warc(spark, sf).collect()}
