@@ -271,6 +271,48 @@ def test_licenses_wrapped(spark, mark):
     assert sorted((r.doc_id, r.license, r.differing_words) for r in got) == [(i, name, 0) for i, _, name in texts]
 
 
+def test_licenses_several(spark):
+    """A block gives all its notices, each with its own start."""
+    first, second, third = licenses.TEMPLATES["all-rights-reserved"], licenses.TEMPLATES["apache-2.0"], licenses.TEMPLATES["mit"]
+    text = f"é {first} {second} or {third} {third}"
+    got = licenses.license_scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+    at = text.index(third)
+    assert sorted((r.start, r.license, r.differing_words) for r in got) == [(2, "all-rights-reserved", 0), (text.index(second), "apache-2.0", 0), (at, "mit", 0), (at + len(third) + 1, "mit", 0)]
+    # a short notice among words of longer templates
+    common = "the following conditions of this work and the source code form are subject to the terms of a general public license with or without software"
+    assert [(x[1], x[3]) for x in licenses.notices(f"{common} {first} {common}")] == [("all-rights-reserved", 0)]
+
+
+def test_licenses_confirmed():
+    """Spans are those of plain search over all begins and ends."""
+    rng = np.random.default_rng(2)
+
+    def common(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            new = [0]
+            for j, y in enumerate(b):
+                new.append(row[j] + 1 if x == y else max(row[j + 1], new[j]))
+            row = new
+        return row[-1]
+
+    for _ in range(150):
+        words = [str(x) for x in rng.integers(0, 12, rng.integers(5, 12))]
+        own = [str(x) for x in rng.integers(0, 14, 8)]
+        for _ in range(2):
+            own += [w for w in words if rng.random() > 0.12] + [str(x) for x in rng.integers(0, 14, rng.integers(0, 4))]
+        lost, more = licenses._limits(len(words))
+        found = []
+        for a in range(len(own)):
+            for b in range(a + 1, len(own) + 1):
+                same = common(words, own[a:b])
+                if len(words) - same <= lost and b - a - same <= more:
+                    found.append(len(words) + b - a - 2 * same)
+        got = licenses.confirmed(words, own)
+        assert [x[0] for x in got][:1] == sorted(found)[:1]
+        assert all(len(words) + b - a - 2 * common(words, own[a:b]) == d for d, a, b in got)
+
+
 def test_warc(spark, sf):
     pages = {r.page_id: r for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
     got = {r.page_id: r for r in queries.op8_warc(spark, sf).collect()}
