@@ -46,6 +46,7 @@ TEMPLATES = {
     "mpl-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
 }
 CUES = r"(?i)licen[sc]e|copyright|rights\W+reserved|redistribut|permission\W+is|waived\W+all|CC\W+BY"
+#: More words than the longest template and the words that may be added within it.
 WINDOW = 60
 LEAST_SHARE = 0.8
 
@@ -69,15 +70,19 @@ def _packers() -> dict[str, tuple[zstandard.ZstdCompressor, list[str]]]:
 
 
 def blocks(text: str) -> Iterator[tuple[int, str]]:
-    """(start, block) of the candidates of a text."""
+    """(start, block) of the candidates of a text: WINDOW words on both sides of each cue, windows that meet being one."""
     marks = list(_WORD.finditer(text))
     starts = [m.start() for m in marks]
-    until = -1
+    spans: list[list[int]] = []
     for cue in _CUE.finditer(text):
-        i = bisect_right(starts, cue.start()) - 1
-        if i > until:
-            a, until = max(0, i - WINDOW // 2), min(len(marks) - 1, i + WINDOW)
-            yield marks[a].start(), text[marks[a].start() : marks[until].end()]
+        a, b = (bisect_right(starts, x) - 1 for x in (cue.start(), cue.end() - 1))
+        a, b = max(0, a - WINDOW), min(len(marks), b + 1 + WINDOW)
+        if spans and a <= spans[-1][1]:
+            spans[-1][1] = b
+        else:
+            spans.append([a, b])
+    for a, b in spans:
+        yield marks[a].start(), text[marks[a].start() : marks[b - 1].end()]
 
 
 def _limits(n: int) -> tuple[int, int]:

@@ -283,6 +283,14 @@ def test_licenses_several(spark):
     assert [(x[1], x[3]) for x in licenses.notices(f"{common} {first} {common}")] == [("all-rights-reserved", 0)]
 
 
+def test_licenses_far_from_first_cue(spark):
+    """A notice is found at any distance from an earlier cue."""
+    assert licenses.WINDOW >= max(len(w) + licenses._limits(len(w))[1] for _, w in licenses._packers().values())
+    texts = [(at * 100 + k, " ".join(["x"] * 49 + ["copyright"] + ["x"] * (at - 50) + [licenses.TEMPLATES[name]] + ["y"] * 30 + ["license"]), name) for at in range(50, 120) for k, name in enumerate(["bsd-3-clause", "mit-grant"])]
+    got = licenses.license_scan(spark.createDataFrame(texts, "doc_id long, text string, name string")).collect()
+    assert sorted((r.doc_id, r.start, r.license, r.differing_words) for r in got) == [(i, t.index(licenses.TEMPLATES[name]), name, 0) for i, t, name in texts]
+
+
 def test_licenses_confirmed():
     """Spans are those of plain search over all begins and ends."""
     rng = np.random.default_rng(2)
