@@ -45,9 +45,9 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from lexigrove.llm.packing import packed
+    from lexigrove.llm.packing import clustered, packed
 
-    return packed(_table(spark, sf_dir, "documents"))
+    return packed(clustered(_table(spark, sf_dir, "documents")), size=F.col("size"), cluster=F.col("cluster"))
 
 
 def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -239,6 +239,17 @@ def test_packing(spark, sf, docs, odd, none):
     assert packing.packed(none).count() == 0
 
 
+def test_packing_near_copies(spark, odd, tmp_path):
+    """Near copies without a source do not share a bin."""
+    texts = {i: " ".join(f"g{i % 4}_{k}" for k in range(60)) + f" end{i}" for i in range(40)}
+    spark.createDataFrame([(i, t, None) for i, t in texts.items()], "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.op6_packing(spark, str(tmp_path)).collect()
+    assert sorted(r.doc_id for r in got) == sorted(texts)
+    assert max(Counter((r.bin, r.doc_id % 4) for r in got).values()) == 1 and len({r.bin for r in got}) == 10
+    rows = packing.clustered(odd).collect()
+    assert Counter(r.doc_id for r in rows) == Counter(r.doc_id for r in odd.collect()) and len({r.cluster for r in rows if r.doc_id in (3, 8)}) == 2
+
+
 def test_best_fit():
     got = packing.pack([6, 5, 4, 3], ["a", "b", "c", "c"], [None] * 4, 10)
     assert [(r, b) for r, _, _, b, _ in got] == [(0, 0), (1, 1), (2, 0), (3, 1)]
