@@ -414,16 +414,6 @@ def tfidf_long(spark, d):
     return rows.select("token", "doc_id", *(F.round(c, 6).alias(c) for c in ("norm_tf", "idf", "tfidf")))
 
 
-_COLUMNS = [0, 1, 2, 5]
-
-
-@query(f"WITH {_S} SELECT token, any_value(cf) AS cf, round(ln(any_value(nd.n) / any_value(df)), 6) AS idf, " + ", ".join(f"round(max(CASE WHEN doc_id = {i} THEN norm_tf ELSE 0 END), 6) AS tf_{i}, round(max(CASE WHEN doc_id = {i} THEN norm_tf ELSE 0 END) * ln(any_value(nd.n) / any_value(df)), 6) AS tfidf_{i}" for i in _COLUMNS) + f" FROM p JOIN s USING (token), nd GROUP BY token HAVING bool_or(doc_id IN ({', '.join(map(str, _COLUMNS))}))")
-def tfidf_matrix(spark, d):
-    posted = _postings(spark, d)
-    rows = export.tfidf_matrix(posted, I.terms(posted), _all_docs(spark, d), _COLUMNS)
-    return rows.select("token", "cf", *(F.round(c, 6).alias(c) for c in rows.columns if c not in ("token", "cf")))
-
-
 @query(f"WITH {_S} SELECT token, round(ln(nd.n / df), 6) AS idf FROM s, nd")
 def idf_ln(spark, d):
     return I.idf(I.terms(I.term_freq(_tokens(spark, d))), _all_docs(spark, d), "ln").select("token", F.round("idf", 6).alias("idf"))

@@ -3,6 +3,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
+from lexigrove import queries
 from lexigrove.functions import html, urls
 from lexigrove.functions import text as X
 from lexigrove.operators import analyze as A
@@ -76,6 +77,17 @@ def test_index_properties(index):
     assert math.isclose(long["science", "d2"], math.log(4 / 2))
 
 
+def test_matrix_is_whole(spark, index):
+    """The registered matrix is the long one; the wide one has a row for each token and the cells of the long one."""
+    assert "tfidf_matrix" not in queries.queries() and "tfidf_long" in queries.queries() and "tfidf_long" in queries.oracle_sql()
+    n = index.postings.selectExpr("4L as n").limit(1)
+    ids = [d for d, _ in DOCS]
+    wide = {r.token: r for r in export.tfidf_matrix(index.postings, index.terms, n, ids).collect()}
+    assert set(wide) == {"data", "science", "labor"}
+    cells = {(t, d): round(r[f"tfidf_{d}"], 9) for t, r in wide.items() for d in ids if r[f"tf_{d}"]}
+    assert cells == {(r.token, r.doc_id): round(r.tfidf, 9) for r in export.tfidf_long(index.postings, index.terms, n).collect()}
+
+
 def test_links(spark):
     rows = [("",), ("#top",), ("mailto:q@a.de",), ("/f.pdf",), ("/f.PDF",), ("/v?f=x.pdf",), ("/p?q=1#z",), ("foo.html",), ("https://other.de/",)]
     df = spark.createDataFrame(rows, "href string").where(urls.crawlable(F.col("href"))).select("href", urls.absolute(F.col("href"), F.lit("http://www.a.de/x/y.html")).alias("url"))
