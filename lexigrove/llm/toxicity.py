@@ -98,17 +98,20 @@ def scores(model: Model, tables: list[list[np.ndarray]], row: np.ndarray, slots:
     """Of each text, from the slots of its words."""
     pooled = np.zeros((rows, len(WIDTHS) * FILTERS), dtype=np.float64)
     if len(row):
-        # a window of unknown words responds alike everywhere: only windows with a known word, and the first of each text, need a look
-        slots, start, place = _laid_out(slots, row, rows)
-        known = slots < SLOTS
-        first = np.zeros(len(slots), dtype=bool)
-        first[start] = True
+        # a window of unknown words responds alike everywhere: only windows with a known word, and one of unknown words of each text that has any, need a look
+        slots, _, place = _laid_out(slots, row, rows)
+        known, unknown = slots < SLOTS, slots == SLOTS
         for w, width in enumerate(WIDTHS):
             look = known.copy()
             for j in range(1, width):
                 look[:-j] |= known[j:]
             # windows that reach into the padding differ from others of unknown words
-            look |= first
+            blank = unknown.copy()
+            for j in range(1, width):
+                blank[:-j] &= unknown[j:]
+                blank[-j:] = False
+            some = np.flatnonzero(blank[place])
+            look[place[some[np.unique(row[some], return_index=True)[1]]]] = True
             for j in range(1, width):
                 look[:-j] |= (slots[j:] == SLOTS + 1) & (slots[:-j] != SLOTS + 1)
             at = place[look[place]]

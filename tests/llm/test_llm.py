@@ -366,6 +366,23 @@ def test_toxicity(spark, sf, odd, none):
     assert toxicity.without_toxic(odd, labels.limit(0)).count() == 12
 
 
+def test_scores_pool_all_windows():
+    """Scores are those of the largest response over every window, also where only inner windows are of unknown words."""
+    rng = np.random.default_rng(3)
+    slots, wide = toxicity.SLOTS, toxicity.FILTERS * len(toxicity.WIDTHS)
+    model = toxicity.Model(np.zeros(slots, dtype=np.uint64), rng.normal(0, 1, (slots + 2, toxicity.DIM)), [rng.normal(0, 0.3, (w, toxicity.DIM, toxicity.FILTERS)) for w in toxicity.WIDTHS], np.zeros(wide), rng.normal(0, 0.1, wide), 0.0)
+    texts = [np.where(rng.random(n) < share, slots, rng.integers(0, slots, n)) for share in (0.2, 0.5, 0.9, 1.0) for n in (1, 2, 5, 30)]
+    texts += [np.array([7] + [slots] * 12 + [9]), np.zeros(0, dtype=np.int64)]
+    want = []
+    for t in texts:
+        ext = np.append(t, [slots + 1] * max(toxicity.WIDTHS)).astype(np.int64)
+        best = [np.max([sum(model.embedding[ext[i + j]] @ f[j] for j in range(len(f))) for i in range(len(t))], axis=0, initial=0) if len(t) else np.zeros(toxicity.FILTERS) for f in model.filters]
+        want.append(1 / (1 + np.exp(-(np.concatenate(best) @ model.weight))))
+    row = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+    got = toxicity.scores(model, model.tables(), row, np.concatenate(texts).astype(np.int64), len(texts))
+    assert got == pytest.approx(want, abs=1e-4)
+
+
 def test_search(spark, sf):
     rows = [(r.vec_id, np.array(r.embedding, dtype=np.float64)) for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()]
     ids, x = np.array([i for i, _ in rows]), np.stack([v for _, v in rows])
