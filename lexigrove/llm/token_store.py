@@ -51,7 +51,8 @@ class Encoder:
     A text is cut only where the byte-level pre-tokenizer always cuts: before
     white space that follows other bytes, and between ASCII letters, digits and
     punctuation (not after an apostrophe). Pieces so made encode alike wherever they
-    stand. Texts with white space beyond ASCII are encoded whole.
+    stand. Texts with white space beyond ASCII, or with a token that was added to the vocabulary, are encoded whole. What is
+    remembered of a piece is found by a hash and used only if the bytes are the same.
     """
 
     SLOTS = 1 << 22
@@ -68,6 +69,8 @@ class Encoder:
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.bytes_of = np.zeros(max(vocabulary.values()) + 1, dtype=np.int64)  # a byte-level token has a character a byte
         self.bytes_of[list(vocabulary.values())] = [len(x) for x in vocabulary]
+        self.added = sorted({t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()})
+        self.joins = not any(any(c in x for c in b" \t\n\r\v\f") for x in self.added)
         self.kind = np.full(256, 4, dtype=np.uint8)
         self.kind[33:127] = 3
         self.kind[48:58] = 2
@@ -79,21 +82,26 @@ class Encoder:
         self.keys = np.zeros(self.SLOTS, dtype=np.uint64)
         self.start = np.zeros(self.SLOTS, dtype=np.int32)
         self.length = np.full(self.SLOTS, -1, dtype=np.int32)
-        self.pool = np.zeros(1 << 16, dtype=np.uint32)
-        self.used = 0
+        self.bytes_start = np.zeros(self.SLOTS, dtype=np.int64)
+        self.bytes_length = np.zeros(self.SLOTS, dtype=np.int32)
+        self.pool, self.bytes = np.zeros(1 << 16, dtype=np.uint32), np.zeros(1 << 16, dtype=np.uint8)
+        self.used = self.bytes_used = 0
+
+    @staticmethod
+    def _room(pool: np.ndarray, used: int, more: int) -> np.ndarray:
+        return pool if used + more <= len(pool) else np.concatenate([pool, np.zeros(max(len(pool), more), dtype=pool.dtype)])
 
     def _library(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(start, length) in the pool of the ids of each piece. Pieces that begin with a space and end with other bytes are encoded many to a call of the library, as each of them begins a token there."""
         size = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
-        plain = np.fromiter((x[:1] == b" " and not x[-1:].isspace() and x[-1] < 128 for x in texts), dtype=bool, count=len(texts))
+        plain = np.fromiter((self.joins and x[:1] == b" " and not x[-1:].isspace() and x[-1] < 128 and not self._special(x) for x in texts), dtype=bool, count=len(texts))
         start, length = np.zeros(len(texts), dtype=np.int32), np.zeros(len(texts), dtype=np.int32)
         many, alone = np.flatnonzero(plain), np.flatnonzero(~plain)
         groups = [many[k : k + self.JOINED] for k in range(0, len(many), self.JOINED)] + [alone[k : k + 1] for k in range(len(alone))]
         got = self.tokenizer.encode_batch_fast([b"".join([texts[i] for i in g.tolist()]).decode() for g in groups], add_special_tokens=False)
         for g, one in zip(groups, got, strict=True):
             ids = np.array(one.ids, dtype=np.uint32)
-            if self.used + len(ids) > len(self.pool):
-                self.pool = np.concatenate([self.pool, np.zeros(max(len(self.pool), len(ids)), dtype=np.uint32)])
+            self.pool = self._room(self.pool, self.used, len(ids))
             self.pool[self.used : self.used + len(ids)] = ids
             if len(g) == 1:
                 start[g], length[g] = self.used, len(ids)
@@ -104,50 +112,85 @@ class Encoder:
             self.used += len(ids)
         return start, length
 
+    def _special(self, text: bytes) -> bool:
+        return any(x in text for x in self.added)
+
     def _slots(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         low = np.uint64(self.SLOTS - 1)
         return (key & low).astype(np.int64), (key >> np.uint64(32) & low).astype(np.int64)
 
+    def _whole(self, raw: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Rows that are not cut."""
+        view, found = raw.tobytes(), [_rows_with_wide_space(raw, at)]
+        for token in self.added:
+            places, k = [], view.find(token)
+            while k >= 0:
+                places.append(k)
+                k = view.find(token, k + 1)
+            found.append(np.searchsorted(at, np.array(places, dtype=np.int64), side="right") - 1)
+        return np.unique(np.concatenate(found))
+
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, offsets of each text in them)."""
         raw, at = _text.buffers(column)
         rows = len(at) - 1
-        if self.used > self.POOL:
+        if self.used > self.POOL or self.bytes_used > 4 * self.POOL:
             self._clear()
         kind = self.kind[raw]
-        odd = _rows_with_wide_space(raw, at)
         cut = np.zeros(len(raw), dtype=bool)
         if len(raw) > 1:
             a, b = kind[:-1], kind[1:]
             cut[1:] = ((a != 0) & (b == 0)) | ((a != b) & (a > 0) & (a < 4) & (b > 0) & (b < 4) & ~((raw[:-1] == 39) & (b == 1)))
-        for r in odd:
+        for r in self._whole(raw, at):
             cut[at[r] : at[r + 1]] = False
         cut[at[:-1][at[:-1] < at[1:]]] = True
         starts = np.flatnonzero(cut)
         ends = np.append(starts[1:], len(raw)) if len(starts) else starts
+        size = ends - starts
         key = _text.span_hash(raw, starts, ends)
         one, two = self._slots(key)
         slot = np.where(self.keys[one] == key, one, two)
-        found = (self.keys[slot] == key) & (self.length[slot] >= 0)
+        found = (self.keys[slot] == key) & (self.length[slot] >= 0) & (self.bytes_length[slot] == size)
+        hit = np.flatnonzero(found)
+        found[hit] = _same_bytes(raw, starts[hit], self.bytes, self.bytes_start[slot[hit]], size[hit])
         p_start, p_length = self.start[slot].astype(np.int64), self.length[slot].astype(np.int64)
         if not found.all():
             miss = np.flatnonzero(~found)
             new, first, inverse = np.unique(key[miss], return_index=True, return_inverse=True)
+            same = size[miss] == size[miss[first[inverse]]]
+            alike = np.flatnonzero(same)
+            same[alike] = _same_bytes(raw, starts[miss[alike]], raw, starts[miss[first[inverse[alike]]]], size[miss[alike]])
+            other = np.flatnonzero(~same)  # pieces with the hash of another one
             view = raw.tobytes()
-            s, n = self._library([view[starts[i] : ends[i]] for i in miss[first].tolist()])
+            s, n = self._library([view[starts[i] : ends[i]] for i in [*miss[first].tolist(), *miss[other].tolist()]])
             p_start[miss], p_length[miss] = s[inverse], n[inverse]
+            p_start[miss[other]], p_length[miss[other]] = s[len(first) :], n[len(first) :]
             one, two = self._slots(new)
             put = np.where(self.length[one] < 0, one, two)
             self.length[put] = -1
             self.keys[put] = new  # of pieces with one slot the last stays
-            own = self.keys[put] == new
-            self.start[put[own]], self.length[put[own]] = s[own], n[own]
+            own = np.flatnonzero(self.keys[put] == new)
+            put, piece = put[own], miss[first[own]]
+            self.start[put], self.length[put], self.bytes_length[put] = s[own], n[own], size[piece]
+            more = int(size[piece].sum())
+            self.bytes = self._room(self.bytes, self.bytes_used, more)
+            self.bytes[self.bytes_used : self.bytes_used + more] = raw[_text.repeated(starts[piece], size[piece])]
+            self.bytes_start[put] = self.bytes_used + np.cumsum(size[piece]) - size[piece]
+            self.bytes_used += more
         ids = self.pool[_text.repeated(p_start, p_length)]
         row = np.searchsorted(at, starts, side="right") - 1
         counts = np.bincount(row, weights=p_length, minlength=rows).astype(np.int64)
         return ids, np.concatenate([[0], np.cumsum(counts)])
 
 
+def _same_bytes(raw: np.ndarray, starts: np.ndarray, pool: np.ndarray, others: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether spans of two byte arrays, of one size each, are the same."""
+    if not len(size):
+        return np.zeros(0, dtype=bool)
+    differ = raw[_text.repeated(starts, size)] != pool[_text.repeated(others, size)]
+    return ~np.logical_or.reduceat(np.append(differ, False), np.cumsum(size) - size)
+
+
 _ENCODERS: dict[str, Encoder] = {}
 
 
@@ -256,7 +299,7 @@ class Reader:
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, *, end_id: int = END_ID, docs_per_file: int = 4096) -> DataFrame:
-    """Writes files in ascending doc_id order; returns the written manifest (part, file, docs, tokens, bytes, base), base being the ids of all files before.
+    """Writes files in ascending doc_id order; returns the written manifest (part, file, docs, tokens, bytes, first_id, last_id, base), base being the ids of all files before.
 
     Files are ranges of doc_id, found by Spark from a sample, so none depends on
     the number of rows of a key; each is written under a name of its own attempt
@@ -276,9 +319,10 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, *, end_id: int = EN
         encoder = encoder_for(tokenizer)
         name = f"part-{part:06d}.ids.zst"
         tokens = documents = 0
+        last_id = first_id = first.column("doc_id")[0].as_py()
 
         def fill(out) -> None:
-            nonlocal tokens, documents
+            nonlocal tokens, documents, last_id
             writer = Writer(out)
             for batch in _joined(first, batches):
                 for piece in _text.chunks(batch, "text"):
@@ -287,14 +331,15 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, *, end_id: int = EN
                         writer.add(doc_id, np.append(ids[a:b], np.uint32(end_id)))
                         tokens += b - a + 1
                         documents += 1
+                        last_id = doc_id
             writer.close()
 
         size = write_whole(f"{path}/{name}", fill)
-        yield pa.RecordBatch.from_pydict({"part": [part], "file": [f"{path}/{name}"], "docs": [documents], "tokens": [tokens], "bytes": [size]}, schema=pa.schema([("part", pa.int32()), ("file", pa.string()), ("docs", pa.int64()), ("tokens", pa.int64()), ("bytes", pa.int64())]))
+        yield pa.RecordBatch.from_pydict({"part": [part], "file": [f"{path}/{name}"], "docs": [documents], "tokens": [tokens], "bytes": [size], "first_id": [first_id], "last_id": [last_id]}, schema=pa.schema([("part", pa.int32()), ("file", pa.string()), *((c, pa.int64()) for c in ("docs", "tokens", "bytes", "first_id", "last_id"))]))
 
     texts = docs.select(id_of(F.col("doc_id")).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     in_order = texts.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
-    written = in_order.mapInArrow(write, "part int, file string, docs long, tokens long, bytes long")
+    written = in_order.mapInArrow(write, "part int, file string, docs long, tokens long, bytes long, first_id long, last_id long")
     manifest = f"{path}/manifest.parquet"
     written.write.parquet(manifest)
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row a file
@@ -329,12 +374,15 @@ def read_tokens(manifest: DataFrame, with_ids: bool = False) -> DataFrame:
     return manifest.repartition(manifest.sparkSession.sparkContext.defaultParallelism * 2, "part").mapInArrow(read, ddl)
 
 
-def read_documents(manifest: DataFrame, doc_ids: list[int]) -> dict[int, list[int]]:
-    """The ids of the requested documents, by ranged reads of their frames alone."""
-    got: dict[int, list[int]] = {}
-    for row in manifest.select("file").toLocalIterator():
+def read_documents(manifest: DataFrame, doc_ids: list[int]) -> dict[int, list[list[int]]]:
+    """The ids of the requested documents, a list for each row of a doc_id, by ranged reads of their frames alone; only files whose range of doc_ids holds one of them are opened."""
+    got: dict[int, list[list[int]]] = {}
+    wanted = manifest.sparkSession.createDataFrame([(d,) for d in sorted(set(doc_ids))], "wanted long")
+    files = manifest.join(F.broadcast(wanted), F.col("wanted").between(F.col("first_id"), F.col("last_id"))).groupBy("part", "file").agg(F.collect_list("wanted").alias("wanted")).orderBy("part")
+    for row in files.toLocalIterator():
         reader = Reader(row["file"])
-        got |= {d: ids.tolist() for d, ids in reader.find(doc_ids)}
+        for d, ids in reader.find(row["wanted"]):
+            got.setdefault(d, []).append(ids.tolist())
         reader.close()
     return got
 
