@@ -34,8 +34,8 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lexigrove.llm._store import keep
     from lexigrove.llm.mixing import drawn, mixed
 
-    rows = mixed(keep(drawn(_table(spark, sf_dir, "documents")).select("doc_id", "source", "size", "u"), "mix"))
-    return rows.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+    rows = mixed(keep(drawn(_table(spark, sf_dir, "documents"), ["doc_id"]), "mix"))
+    return rows.select("row.doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
