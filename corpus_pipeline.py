@@ -3,6 +3,12 @@
 Each stage takes (spark, docs, sf_dir) and works on all rows that the stage before kept;
 all but the last return the columns of documents. A document that the mix takes
 twice has two rows.
+
+Defined cases: null and empty texts are scored as texts of no words, are near duplicates of
+each other, are taken no words of by the mix and so go there; a null source is a source of its own
+in the mix and conflicts with none in a bin; null and repeated doc_ids are rows of their own, of
+which equal texts are near duplicates; ties are settled as the operators say; an empty table gives no
+rows; further columns are kept up to the last stage, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,11 +32,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    base = ["doc_id", "source", "text"]
-    rest = [c for c in docs.columns if c not in base]  # set apart, as their names may be those of the mix
-    rows = mixed(keep(drawn(docs.select(*base, F.struct(F.lit(0).alias("no"), *rest).alias("other columns"))), "mix"))
-    rows = rows.where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-    return rows.select(*(F.col(c) if c in base else F.col(f"`other columns`.`{c}`").alias(c) for c in docs.columns))
+    rows = mixed(keep(drawn(docs), "mix")).where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    return rows.select(*(F.col("row")[c].alias(c) for c in docs.columns))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
