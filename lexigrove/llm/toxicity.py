@@ -9,15 +9,16 @@ logistic unit weighs those. Scores are shifted so that 0.5 is the best
 threshold on validation rows; on the same rows a threshold is calibrated for each language,
 which only decides and never scores.
 
-Training uses at most SAMPLE labelled rows, those of lowest hash; their words are
+Training uses a bounded sample of labelled rows: of those of at most LONGEST words, the SAMPLE of lowest hash of their
+doc_id, and of these, in that order, as many as have WORDS words together. Their words are
 written to the shared folder and the driver reads them a few texts at a time, keeping two
-bytes a word. Scoring reads every whole text. As a table of what each slot adds to each filter is computed
+bytes a word, so 2 * WORDS bytes at most. Scoring reads every whole text. As a table of what each slot adds to each filter is computed
 once, scoring is a few table lookups a word.
 
 Defined cases: null and empty texts, and texts without letters, have the score of
 no words; rows that repeat a doc_id are scored each; a doc_id with several labels
 has the largest; null labels are none; with no labelled row, or labels of one kind
-only, all scores are that share, kept under 0.5 without any; further columns are ignored.
+only, all scores are that share, kept under 0.5 without any; a null doc_id is not held out and has no label; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -37,6 +38,8 @@ from lexigrove.llm import _text
 from lexigrove.llm._store import bound_batches, filesystem, new_path
 
 SAMPLE = 8000
+LONGEST = 1 << 20
+WORDS = 1 << 26
 SLOTS = 1 << 15
 DIM = 16
 WIDTHS = (1, 2, 3)
@@ -96,7 +99,8 @@ def _laid_out(slots: np.ndarray, row: np.ndarray, rows: int) -> tuple[np.ndarray
 
 def scores(model: Model, tables: list[list[np.ndarray]], row: np.ndarray, slots: np.ndarray, rows: int) -> np.ndarray:
     """Of each text, from the slots of its words."""
-    pooled = np.zeros((rows, len(WIDTHS) * FILTERS), dtype=np.float64)
+    filters = model.filters[0].shape[2]
+    pooled = np.zeros((rows, len(WIDTHS) * filters), dtype=np.float64)
     if len(row):
         # a window of unknown words responds alike everywhere: only windows with a known word, and one of unknown words of each text that has any, need a look
         slots, _, place = _laid_out(slots, row, rows)
@@ -116,12 +120,12 @@ def scores(model: Model, tables: list[list[np.ndarray]], row: np.ndarray, slots:
                 look[:-j] |= (slots[j:] == SLOTS + 1) & (slots[:-j] != SLOTS + 1)
             at = place[look[place]]
             owner = row[look[place]]
-            response = np.zeros((len(at), FILTERS), dtype=np.float32)
+            response = np.zeros((len(at), filters), dtype=np.float32)
             for j in range(width):
                 response += tables[w][j][slots[at + j]]
-            response += model.bias[w * FILTERS : (w + 1) * FILTERS].astype(np.float32)
+            response += model.bias[w * filters : (w + 1) * filters].astype(np.float32)
             begin = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
-            pooled[owner[begin], w * FILTERS : (w + 1) * FILTERS] = np.maximum(np.maximum.reduceat(response, begin, axis=0), 0)
+            pooled[owner[begin], w * filters : (w + 1) * filters] = np.maximum(np.maximum.reduceat(response, begin, axis=0), 0)
     return 1 / (1 + np.exp(-np.clip(pooled @ model.weight + model.offset, -30, 30)))
 
 
@@ -241,7 +245,7 @@ def _calibrate(model: Model, slots: list[np.ndarray], labels: np.ndarray, langua
 
 
 def held_out(doc_id: Column) -> Column:
-    return F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
 def fitted(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
@@ -255,24 +259,31 @@ def fitted(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
             for part in _text.chunks(batch, "text"):
                 row, hashes = words(*_text.buffers(part.column("text")))
                 at = np.searchsorted(row, np.arange(part.num_rows + 1))
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("doc_id", "lang", "toxic")), pa.array([hashes[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary())], ["doc_id", "lang", "toxic", "words"])
+                out = pa.RecordBatch.from_arrays([*(part.column(c) for c in ("doc_id", "lang", "toxic")), pa.array([hashes[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary())], ["doc_id", "lang", "toxic", "words"])
+                yield out.filter(pa.array(np.diff(at) <= LONGEST))
 
     kinds = dict(docs.dtypes)
     read_rows = rows.mapInArrow(read, f"doc_id {kinds['doc_id']}, lang string, toxic {dict(labels.dtypes)['toxic']}, words binary")
     # one row of a repeated doc_id, chosen before any of them leaves its executor
     path = new_path(docs.sparkSession, "training")
-    read_rows.groupBy("doc_id").agg(F.min(F.struct("words", "lang", "toxic")).alias("row")).select("doc_id", "row.*").repartitionByRange(1, "doc_id").sortWithinPartitions("doc_id").write.parquet(path)
-    toxic, langs = [], []
-    for batch in _batches(path, ["lang", "toxic"]):
+    read_rows.groupBy("doc_id").agg(F.min(F.struct("words", "lang", "toxic")).alias("row")).select("doc_id", "row.*", (F.octet_length("row.words") / 8).cast("long").alias("size")).repartitionByRange(1, "doc_id").sortWithinPartitions(F.xxhash64("doc_id"), "doc_id").write.parquet(path)
+    toxic, langs, size = [], [], []
+    for batch in _batches(path, ["lang", "toxic", "size"]):
         langs += batch.column("lang").to_pylist()
         toxic += batch.column("toxic").to_pylist()
+        size += batch.column("size").to_pylist()
+    used = int(np.searchsorted(np.cumsum(size), WORDS, side="right")) if size else 0
 
     def texts() -> Iterator[np.ndarray]:
+        left = used
         for batch in _batches(path, ["words"]):
-            raw, at = _text.buffers(batch.column("words"))
+            raw, at = _text.buffers(batch.column("words").slice(0, left))
             yield from (raw[a:b].view(np.uint64) for a, b in zip(at[:-1], at[1:], strict=True))
+            left -= min(left, batch.num_rows)
+            if not left:
+                return
 
-    return train(texts, np.array(toxic, dtype=np.float64) > 0, langs)
+    return train(texts, np.array(toxic[:used], dtype=np.float64) > 0, langs[:used])
 
 
 def _batches(path: str, columns: list[str], rows: int = 64) -> Iterator[pa.RecordBatch]:
