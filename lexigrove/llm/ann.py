@@ -3,20 +3,20 @@
 Vectors are cut into pairs of components, each coded in four bits. Codebooks and
 codes minimise an anisotropic loss, ||r||^2 + (eta - 1)(r.u)^2 with r the residual
 and u the direction of the vector, which penalises the part of the error that
-is parallel to the vector and so changes the largest inner products. A block of
-rows is scanned by table lookups, two codes a byte, for each block of queries,
-the best RERANK of a block of rows are scored exactly on the original vectors in
-double precision, and the best ``k`` of all blocks are kept.
+is parallel to the vector and so changes the largest inner products. A part of the rows, PART_BYTES at most, is
+held by one task, which reads the queries once, block by block. For each block of queries, blocks of ROWS rows are
+scanned by table lookups, two codes a byte, the best RERANK of a block are scored exactly on the original vectors in
+double precision, and the best ``k`` of all blocks of the part are merged before anything is shuffled.
 
 Codebooks are fitted on a bounded sample (SAMPLE rows of lowest hash); every
 valid row is coded and searched. Queries are written to the shared folder in
-blocks, and each task reads them block by block for its own rows, so neither is
+blocks, and each task reads them for its own rows, so neither is
 broadcast or collected and the rows are not copied.
 
 Defined cases: vectors that are null, empty, zero, or hold nulls, NaN or infinite
 components take no part, nor do vectors of another length than the most common
 one (ties: the longer); equal scores go to the smaller vec_id; rows that repeat a
-vec_id are candidates each, and a query's own vec_id is never one; a repeated query id gets one result, for the
+vec_id are candidates each, and a query's own vec_id is never one; a null vec_id is a candidate like others, below all other ids, and no query; a repeated query id gets one result, for the
 copy of lowest hash; an empty table gives no rows; further columns are ignored.
 """
 
@@ -27,16 +27,19 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexigrove.llm._store import filesystem, new_path
+from lexigrove.llm._store import filesystem, id_back, id_of, new_path
 
 SAMPLE = 8192
 CENTRES = 16
 THRESHOLD = 0.2
 RERANK = 256
 ROWS = 8192
+PART_ROWS = 1 << 16
+PART_BYTES = 1 << 26
 QUERIES = 512
 
 
@@ -127,18 +130,22 @@ def scan(tables: np.ndarray, codes: np.ndarray) -> np.ndarray:
     return out
 
 
-def _best(queries: np.ndarray, query_ids: np.ndarray, tables: np.ndarray, rows: np.ndarray, ids: np.ndarray, codes: np.ndarray, k: int, rerank: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query ids, row ids, exact scores) of the best k rows of a block for each query, its own id left out."""
+def _best(queries: np.ndarray, query_ids: np.ndarray, tables: np.ndarray, rows: np.ndarray, ids: np.ndarray, codes: np.ndarray, k: int, rerank: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row ids, exact scores) of the best k rows of a block for each query, -inf where there are fewer; its own id is left out."""
     near = scan(tables, codes)
-    near[query_ids[:, None] == ids[None]] = -np.inf
+    own = query_ids[:, None] == ids[None]
+    near[own] = -np.inf
     keep = min(max(rerank, k), len(ids))
     chosen = np.argpartition(-near, keep - 1, axis=1)[:, :keep]
     exact = np.einsum("qcd,qd->qc", rows[chosen].astype(np.float64), queries.astype(np.float64))
-    exact[query_ids[:, None] == ids[chosen]] = -np.inf
-    order = np.lexsort((ids[chosen], -exact), axis=1)[:, :k]
-    chosen, exact = np.take_along_axis(chosen, order, 1), np.take_along_axis(exact, order, 1)
-    good = np.isfinite(exact)
-    return np.repeat(query_ids, chosen.shape[1]).reshape(chosen.shape)[good], ids[chosen][good], exact[good]
+    exact[np.take_along_axis(own, chosen, 1)] = -np.inf
+    return _first(ids[chosen], exact, k)
+
+
+def _first(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k best of each line, ties to the smaller id."""
+    order = np.lexsort((ids, -scores), axis=1)[:, :k]
+    return np.take_along_axis(ids, order, 1), np.take_along_axis(scores, order, 1)
 
 
 def _valid(vector: Column) -> Column:
@@ -153,7 +160,8 @@ def _matrix(column: pa.Array) -> np.ndarray:
 def search(vectors: DataFrame, is_query: Column, *, k: int = 20, rerank: int = RERANK, sample: int = SAMPLE) -> DataFrame:
     """query_id, rank, vec_id, score: the k best found of all rows but the query's own."""
     spark = vectors.sparkSession
-    valid = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding", is_query.alias("asks")).where(F.col("vec_id").isNotNull() & _valid(F.col("embedding")))
+    asks = F.coalesce(is_query, F.lit(False)) & F.col("vec_id").isNotNull()
+    valid = vectors.select(id_of(F.col("vec_id")).alias("vec_id"), "embedding", asks.alias("asks")).where(_valid(F.col("embedding")))
     lengths = valid.groupBy(F.size("embedding").alias("dim")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), F.desc("dim")).limit(1).collect()
     if not lengths:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
@@ -170,36 +178,35 @@ def search(vectors: DataFrame, is_query: Column, *, k: int = 20, rerank: int = R
     asked.write.option("maxRecordsPerFile", 1 << 16).parquet(path)
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        size = 0
-        for batch in batches:
-            held.append(batch)
-            size += batch.num_rows
-            if size >= ROWS:
-                yield from _block(pa.Table.from_batches(held), path, book, k, rerank)
-                held, size = [], 0
-        if size:
-            yield from _block(pa.Table.from_batches(held), path, book, k, rerank)
-
-    blocks = max(1, -(-total // ROWS))
-    found = valid.select("vec_id", "embedding").repartition(blocks).mapInArrow(look, "query_id long, vec_id long, score double")
+        held = [b for b in batches if b.num_rows]
+        if held:
+            yield from _part(pa.Table.from_batches(held), path, book, k, rerank)
+
+    # as many parts as there are cores for small tables, and no part of more than is held in memory
+    whole = max(ROWS, min(PART_ROWS, PART_BYTES // (4 * dim)))
+    parts = max(-(-total // whole), min(spark.sparkContext.defaultParallelism, -(-total // (ROWS // 2))), 1)
+    found = valid.select("vec_id", "embedding").repartition(parts).mapInArrow(look, "query_id long, vec_id long, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), id_back(F.col("vec_id")).alias("vec_id"), "score")
 
 
-def _block(table: pa.Table, path: str, book: Codebook, k: int, rerank: int) -> Iterator[pa.RecordBatch]:
+def _part(table: pa.Table, path: str, book: Codebook, k: int, rerank: int) -> Iterator[pa.RecordBatch]:
+    """The best k rows of a part for each query."""
     ids = table.column("vec_id").to_numpy()
     rows = _matrix(table.column("embedding").combine_chunks())
-    codes = book.encode(rows)
+    blocks = [slice(a, a + ROWS) for a in range(0, len(ids), ROWS)]
+    codes = [book.encode(rows[b]) for b in blocks]
     store, folder = filesystem(path)
-    from pyarrow import fs
-
     for info in sorted(store.get_file_info(fs.FileSelector(folder)), key=lambda x: x.path):
         if not info.path.endswith(".parquet"):
             continue
         with pq.ParquetFile(info.path, filesystem=store) as f:
-            for part in f.iter_batches(QUERIES):
-                if part.num_rows:
-                    queries, query_ids = _matrix(part.column("embedding")), part.column("vec_id").to_numpy()
-                    q, i, s = _best(queries, query_ids, book.tables(queries), rows, ids, codes, k, rerank)
-                    yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(i), pa.array(s)], ["query_id", "vec_id", "score"])
+            for batch in f.iter_batches(QUERIES):
+                if not batch.num_rows:
+                    continue
+                queries, query_ids = _matrix(batch.column("embedding")), batch.column("vec_id").to_numpy()
+                tables = book.tables(queries)
+                got = [_best(queries, query_ids, tables, rows[b], ids[b], c, k, rerank) for b, c in zip(blocks, codes, strict=True)]
+                near, score = _first(np.hstack([i for i, _ in got]), np.hstack([s for _, s in got]), k)
+                good = np.isfinite(score)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(query_ids, near.shape[1]).reshape(near.shape)[good]), pa.array(near[good]), pa.array(score[good])], ["query_id", "vec_id", "score"])
