@@ -6,7 +6,7 @@ further hash bits; all other words share the unknown slot, so rare words of long
 texts cannot pass for known ones. Filters of WIDTHS words slide over the
 embeddings, each filter keeps its largest response over the whole text, and a
 logistic unit weighs those. Scores are shifted so that 0.5 is the best
-threshold on validation rows; on the same rows a threshold is calibrated for each language,
+threshold on validation rows, if LEAST_POSITIVE of them are toxic; on the same rows a threshold is calibrated for each language,
 which only decides and never scores.
 
 Training uses a bounded sample of labelled rows: of those of at most LONGEST words, the SAMPLE of lowest hash of their
@@ -49,6 +49,7 @@ EPOCHS = 8
 RATE = 0.01
 BATCH = 64
 VALIDATION = 5  # one row in so many
+LEAST_POSITIVE = 5  # positive validation rows from which scores are shifted
 LEAST_LANGUAGE = 20  # positive validation rows from which a language has its own threshold
 THRESHOLDS = (0.3, 0.7)  # the range of those
 
@@ -230,7 +231,7 @@ def _best_threshold(score: np.ndarray, label: np.ndarray) -> float:
 
 
 def _calibrate(model: Model, slots: list[np.ndarray], labels: np.ndarray, languages: list[str | None]) -> None:
-    if not len(slots) or not labels.any():
+    if labels.sum() < LEAST_POSITIVE:
         return
     row = np.repeat(np.arange(len(slots)), [len(t) for t in slots])
     found = scores(model, model.tables(), row, np.concatenate(slots), len(slots))
