@@ -6,12 +6,15 @@ import os
 import posixpath
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: What a null id is while rows are ordered, joined or stored.
 NULL_ID = -(2**63)
+#: The folders of kept tables.
+_KEPT: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
 
 def id_of(column: Column) -> Column:
@@ -22,13 +25,12 @@ def id_back(column: Column) -> Column:
     return F.when(column != NULL_ID, column)
 
 
-
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; a temporary folder, also set as checkpoint folder, only where that is unset."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = spark.conf.get("spark.lexigrove.local.dir", None)
+    """spark.checkpoint.dir; where that is unset a temporary folder, also set as checkpoint folder, if Spark runs in one process, and else an error."""
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.lexigrove.local.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         path = tempfile.mkdtemp(prefix="lexigrove-")
         spark.conf.set("spark.lexigrove.local.dir", path)
         spark.sparkContext.setCheckpointDir(path)
@@ -43,7 +45,18 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     """Writes a table into the shared folder and reads it back: cuts lineage and survives lost executors."""
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    kept = df.sparkSession.read.schema(df.schema).parquet(path)
+    _KEPT[kept] = path
+    return kept
+
+
+def forget(*tables: DataFrame) -> None:
+    """Deletes the files of tables that keep() returned and that no later plan reads; other tables are left alone."""
+    for table in tables:
+        if path := _KEPT.pop(table, None):
+            jvm = table.sparkSession._jvm
+            place = jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def filesystem(uri: str):

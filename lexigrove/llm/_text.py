@@ -13,9 +13,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
-_POWERS: dict[int, np.ndarray] = {}
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+_CHAIN = np.uint64(0xC2B2AE3D27D4EB4F)
+_LOW_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=np.uint64)
 CHUNK_BYTES = 1 << 20
 
 IS_SPACE = np.zeros(256, dtype=bool)
@@ -33,21 +33,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(_BASE))
-
-
-def _powers(n: int, base: int) -> np.ndarray:
-    """1, base, base^2 ... modulo 2^64; at least n of them."""
-    got = _POWERS.get(base)
-    if got is None or len(got) < n:
-        size = 1 << max(16, (n - 1).bit_length())
-        got = np.full(size, base, dtype=np.uint64)
-        got[0] = 1
-        np.multiply.accumulate(got, out=got)
-        _POWERS[base] = got
-    return got
-
-
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string or binary column; nulls are empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -93,29 +78,52 @@ def spans(raw: np.ndarray, at: np.ndarray, separator: np.ndarray = IS_SPACE) ->
     return starts, ends, np.searchsorted(at, starts, side="right") - 1
 
 
-def span_hash(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span; equal bytes have equal hashes wherever they stand."""
-    n = len(raw)
-    sums = np.zeros(n + 1, dtype=np.uint64)
-    np.cumsum(_BYTE[raw] * _powers(n + 1, _BASE)[:n], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * _powers(n + 1, _INVERSE)[starts] + (ends - starts).astype(np.uint64))
+def eights(raw: np.ndarray) -> np.ndarray:
+    """At each byte, it and the seven after it as one number; beyond the end are zeros."""
+    padded = np.zeros(len(raw) + 8, dtype=np.uint8)
+    padded[: len(raw)] = raw
+    return np.ndarray((len(raw) + 1,), dtype="<u8", buffer=padded.data, strides=(1,))
 
 
-def shingles(raw: np.ndarray, at: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """(row, hash) of each run of ``size`` words; a text of fewer words is one shingle, a text without words none."""
-    starts, ends, row = spans(raw, at)
+def span_hash(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each span; equal bytes have equal hashes wherever they stand.
+
+    Eight bytes at a time are chained through the mixer, so spans of one length
+    up to eight bytes never collide, and longer ones have no algebraic collisions.
+    """
+    size, view = ends - starts, eights(raw)
+    out = mix((view[starts] & _LOW_BYTES[np.minimum(size, 8)]) + size.astype(np.uint64) * _STEP)
+    done, rest = 8, np.flatnonzero(size > 8)
+    while len(rest):
+        out[rest] = mix(out[rest] * _CHAIN ^ (view[starts[rest] + done] & _LOW_BYTES[np.minimum(size[rest] - done, 8)]))
+        done += 8
+        rest = rest[size[rest] > done]
+    return out
+
+
+def shingles(raw: np.ndarray, at: np.ndarray, size: int, words: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(row, hash) of each run of ``size`` words, the spans of which may be given; a text of fewer words is one shingle, a text without words none."""
+    starts, ends, row = spans(raw, at) if words is None else words
     if not len(starts):
         return row, np.zeros(0, dtype=np.uint64)
-    word = span_hash(raw, starts, ends)
-    sums = np.zeros(len(word) + 1, dtype=np.uint64)
-    up, down = _powers(len(word) + 1, _BASE), _powers(len(word) + 1, _INVERSE)
-    np.cumsum(word * up[: len(word)], out=sums[1:])
+    n = len(starts)
+    word = np.append(span_hash(raw, starts, ends), np.zeros(size, dtype=np.uint64))
+    odd = [mix(np.array([k], dtype=np.uint64))[0] | np.uint64(1) for k in range(1, size + 1)]
+    out = word[:n] * odd[0]
+    for k in range(1, size):
+        out += word[k : n + k] * odd[k]
+    whole = np.zeros(n, dtype=bool)
+    whole[: max(0, n - size + 1)] = row[: max(0, n - size + 1)] == row[size - 1 :]
     count = np.bincount(row, minlength=len(at) - 1)
     first = np.cumsum(count) - count
-    rank = np.arange(len(row)) - first[row]
-    left = np.flatnonzero((rank + size <= count[row]) | (rank == 0))
-    right = np.minimum(left + size, (first + count)[row[left]])
-    return row[left], mix((sums[right] - sums[left]) * down[left] + np.uint64(size))
+    short = np.flatnonzero((count > 0) & (count < size))
+    out[first[short]] = 0
+    for k in range(size - 1):
+        own = first[short[count[short] > k]]
+        out[own] += word[own + k] * odd[k]
+    whole[first[short]] = True
+    left = np.flatnonzero(whole)
+    return row[left], mix(out[left] + np.minimum(size, count)[row[left]].astype(np.uint64))
 
 
 def repeated(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
