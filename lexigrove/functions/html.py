@@ -30,6 +30,43 @@ def unescaped(text: pd.Series) -> pd.Series:
     return text.map(_html.unescape, na_action="ignore")
 
 
+class _Anchors(HTMLParser):
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.hrefs: list[str] = []
+        self.title: list[str] | None = None
+        self.in_title = False
+
+    def handle_starttag(self, tag, attrs):
+        if tag == "a":
+            self.hrefs += [v or "" for k, v in attrs if k == "href"][:1]
+        elif tag == "title" and self.title is None:
+            self.title, self.in_title = [], True
+
+    def handle_endtag(self, tag):
+        if tag == "title":
+            self.in_title = False
+
+    def handle_data(self, data):
+        if self.in_title:
+            self.title.append(data)
+
+
+def anchors(page: str | None) -> tuple[list[str], str | None]:
+    """(href of each link that has one, text of the first title or None), of markup of any case and quotes; character references are resolved."""
+    reader = _Anchors()
+    reader.feed(page or "")
+    reader.close()
+    return reader.hrefs, None if reader.title is None else "".join(reader.title)
+
+
+@F.pandas_udf(T.StructType([T.StructField("links", T.ArrayType(T.StringType())), T.StructField("title", T.StringType())]))
+def parsed(pages: pd.Series) -> pd.DataFrame:
+    """links and title of each page, by a parser; for clean pages links() and raw_title() stay in the JVM."""
+    found = [anchors(p) for p in pages]
+    return pd.DataFrame({"links": [x for x, _ in found], "title": [t for _, t in found]})
+
+
 def element_texts(page: Column, tag: str) -> Column:
     """Inner HTML of clean, unnested elements, without markup; for messy pages use body_text()."""
     inner = F.regexp_extract_all(page, F.lit(rf"(?s)<{tag}(?:\s[^>]*)?>(.*?)</{tag}>"), F.lit(1))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
 
 from pyspark.sql import Column
@@ -75,13 +76,19 @@ def casefold(word: Column) -> Column:
     return F.replace(F.lower(word), F.lit("ß"), F.lit("ss"))
 
 
-def sentences(text: Column) -> Column:
-    """Sentences end at . ! or ? before white space."""
-    return F.filter(F.split(text, r"(?<=[.!?])\s+"), lambda s: F.length(F.trim(s)) > 0)
+def sentences(text: Column, abbreviations: Iterable[str] = ()) -> Column:
+    """Sentences end at . ! or ? before white space, but not at the period of an abbreviation, in any case."""
+    end = r"(?<=[.!?])"
+    known = "|".join(re.escape(a.rstrip(".")) for a in sorted(set(abbreviations)) if a.endswith("."))
+    if known:
+        end += rf"(?<!(?:^|[\s(])(?:{known})\.)"
+    return F.filter(F.split(text, rf"(?iu){end}\s+"), lambda s: F.length(F.trim(s)) > 0)
 
 
-# Word shapes in order of precedence, and what they are called.
-SHAPES = [("number", r"^-?[0-9]+([.,][0-9]+)*$"), ("punct", r"^\W+$"), ("upcase", r"^[A-ZÄÖÜ][^a-zäöüß]*$|^[A-ZÄÖÜ][a-zäöüß]+$"), ("downcase", r"^[a-zäöüß]+$"), ("mixedcase", r"^\w+$")]
+# Word shapes in order of precedence, and what they are called. A word that begins with a
+# digit is a number and one that begins with a small letter is downcase, whatever follows.
+UPCASE = r"^[A-ZÄÖÜ][A-ZÄÖÜa-zäöüß]*(-[A-ZÄÖÜ][A-ZÄÖÜa-zäöüß]*)*-?$"
+SHAPES = [("number", r"^[0-9]|^[.,][0-9]+$"), ("punct", r"^\W+$"), ("upcase", UPCASE), ("downcase", r"^[a-zäöüß]"), ("mixedcase", r"^\w")]
 
 
 def shape(word: Column) -> Column:

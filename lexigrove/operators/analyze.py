@@ -2,23 +2,29 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexigrove.functions import text as X
+from lexigrove.operators import verbs
 
 
 @dataclass
 class Analyzer:
-    """Lexicons and switches of the chain; all empty means tokens and case folding alone."""
+    """Lexicons and switches of the chain; all empty means tokens and case folding alone. With a tagger, words are tagged, separable verbs merged (and compound nouns joined, if asked for) where ``is_word`` knows the result, and excluded tags dropped."""
 
     abbreviations: list[tuple[str, str]] = field(default_factory=list)
     stopwords: list[str] = field(default_factory=list)
     lemmata: DataFrame | dict[str, str] | None = None
     hyphens: bool = False
     case_insensitive_abbreviations: bool = False
+    tagger: Callable[[list[str]], list[str]] | None = None
+    is_word: Callable[[str], bool] = field(default=lambda word: False)
+    compounds: bool = False
 
     def cleaned(self, text: Column) -> Column:
         text = X.expand_abbreviations(text, self.abbreviations, self.case_insensitive_abbreviations)
@@ -27,16 +33,19 @@ class Analyzer:
     def words(self, text: Column) -> Column:
         """The words that are indexed, in order: stop words go before positions are given."""
         found = X.tokens(self.cleaned(text))
+        if self.tagger is not None:  # a tagger sees all words; what it excludes goes before stop words
+            sentences = F.transform(X.sentences(self.cleaned(text), [a for a, _ in self.abbreviations]), X.tokens)
+            found = verbs.indexed_words(sentences, self.tagger, self.is_word, self.compounds)
         if self.stopwords:
-            stop = F.array(*[F.lit(s) for s in sorted({w.casefold() for w in self.stopwords})])
-            found = F.filter(found, lambda w: ~F.array_contains(stop, X.casefold(w)))
+            stop = sorted({w.casefold() for w in self.stopwords})
+            found = F.filter(found, lambda w: ~X.casefold(w).isin(stop))  # a hash set from eleven words on
         return found
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """A table of fewer splits than cores is dealt out before costly expressions."""
+    """A table of fewer files than cores is dealt out before costly expressions."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores) if 0 < len(df.inputFiles()) < cores else df
 
 
 def with_lemma(words: DataFrame, lemmata: DataFrame | dict[str, str] | None) -> DataFrame:
@@ -44,7 +53,8 @@ def with_lemma(words: DataFrame, lemmata: DataFrame | dict[str, str] | None) ->
     if lemmata is None:
         return words.withColumn("token", X.casefold(F.col("word")))
     if isinstance(lemmata, dict):
-        lemmata = words.sparkSession.createDataFrame(sorted(lemmata.items()), "word string, lemma string")
+        # a local relation, whose size Spark knows and broadcasts if it is small
+        lemmata = words.sparkSession.createDataFrame(pa.table({"word": pa.array(list(lemmata), pa.string()), "lemma": pa.array(list(lemmata.values()), pa.string())}))
     return words.join(lemmata.select("word", "lemma"), "word", "left").withColumn("token", X.casefold(F.coalesce("lemma", "word"))).drop("lemma")
 
 
@@ -52,14 +62,21 @@ def analyze(docs: DataFrame, config: Analyzer | None = None, id_col: str = "doc_
     """tokens(doc_id, pos, word, token); positions are dense and count indexed words only."""
     config = config or Analyzer()
     arrays = spread(docs.select(id_col, "text")).select(id_col, config.words(F.col("text")).alias("words"))
-    rows = arrays.select(id_col, F.posexplode("words").alias("pos", "word")).withColumn("pos", F.col("pos").cast("long"))
+    # an inner explode would add a filter on the array's size, for which the whole chain is evaluated once more, before rows are dealt out
+    rows = arrays.select(id_col, F.posexplode_outer("words").alias("pos", "word")).where("pos is not null").withColumn("pos", F.col("pos").cast("long"))
     return with_lemma(rows, config.lemmata).select(id_col, "pos", "word", "token")
 
 
+def tokens_of(spark: SparkSession, queries: list[str], config: Analyzer | None = None) -> list[list[str]]:
+    """The tokens of each query, by the same chain, in one job."""
+    out: list[list[str]] = [[] for _ in queries]
+    for r in analyze(spark.createDataFrame(list(enumerate(queries)), "doc_id int, text string"), config).orderBy("doc_id", "pos").collect() if queries else []:
+        out[r["doc_id"]].append(r["token"])
+    return out
+
+
 def query_tokens(spark: SparkSession, query: str, config: Analyzer | None = None) -> list[str]:
-    """The tokens of a query, by the same chain."""
-    rows = analyze(spark.createDataFrame([(0, query)], "doc_id int, text string"), config).orderBy("pos").collect()
-    return [r["token"] for r in rows]
+    return tokens_of(spark, [query], config)[0]
 
 
 def ambiguous(tokens: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -67,11 +84,17 @@ def ambiguous(tokens: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return tokens.groupBy(id_col, "word").agg(F.count_distinct("token").alias("n")).where("n > 1")
 
 
-def context_features(tokens: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Features of a tagger that do not depend on earlier tags."""
-    w = Window.partitionBy(id_col).orderBy("pos")
+def context_features(tokens: DataFrame, sequence: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """Features of a tagger for each word of a sequence (a document, or a document's sentence); those of earlier tags too, if there is a column ``tag``. What there is not is 'None' in a pair."""
+    w = Window.partitionBy(*sequence).orderBy("pos")
     word = F.col("word")
-    return tokens.select(id_col, "pos", "word", F.lower(word).alias("lower"), F.right(word, F.lit(3)).alias("suffix3"), F.left(word, F.lit(1)).alias("prefix1"), F.lag("word", 1).over(w).alias("prev"), F.lag("word", 2).over(w).alias("prevprev"), X.shape(word).alias("shape"))
+    rows = tokens.withColumns({"prevword": F.lag("word", 1).over(w), "prevprevword": F.lag("word", 2).over(w)})
+    pair = lambda c: F.concat(F.coalesce(c, F.lit("None")), F.lit("+"), word).alias(f"{c}+word")
+    out = [F.lower(word).alias("lower"), F.right(F.lower(word), F.lit(3)).alias("suffix3"), F.left(word, F.lit(1)).alias("prefix1"), "prevword", "prevprevword", pair("prevword"), X.shape(word).alias("shape")]
+    if "tag" in tokens.columns:
+        rows = rows.withColumns({"prevtag": F.lag("tag", 1).over(w), "prevprevtag": F.lag("tag", 2).over(w)})
+        out += ["tag", "prevtag", "prevprevtag", pair("prevtag"), pair("prevprevtag")]
+    return rows.select(*sequence, "pos", "word", *out)
 
 
 def spelling_suggestions(words: DataFrame, vocabulary: DataFrame, most: int = 1) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexigrove.operators.analyze import Analyzer, analyze
-from lexigrove.sources.tables import Index
+from lexigrove.sources.tables import Index, load_index, save_docs, save_table
 
 
 def term_freq(tokens: DataFrame) -> DataFrame:
@@ -53,13 +53,26 @@ def lemma_words(tokens: DataFrame) -> DataFrame:
     return tokens.groupBy("token").agg(F.array_sort(F.collect_set("word")).alias("words"))
 
 
-def build_index(docs: DataFrame, config: Analyzer | None = None) -> Index:
-    tokens = analyze(docs, config)
+def index_of(tokens: DataFrame) -> Index:
     posted = postings(tokens)
-    return Index(tokens, posted, terms(posted))
+    docs = universe(posted)
+    return Index(tokens, posted, terms(posted), docs, docs.agg(F.count("*").alias("n")))
+
+
+def build_index(docs: DataFrame, config: Analyzer | None = None, path: str | None = None, buckets: int = 16) -> Index:
+    """The index of documents. With a path each table is made from the written one before it, so no text is analysed twice, and the saved index is returned; without, it is a plan."""
+    tokens = analyze(docs, config)
+    if path is None:
+        return index_of(tokens)
+    posted = save_table(postings(save_table(tokens, "tokens", path, buckets)), "postings", path, buckets)
+    save_table(terms(posted), "terms", path, buckets)
+    save_docs(universe(posted), path, buckets)
+    return load_index(docs.sparkSession, path)
 
 
-def nested(posted: DataFrame) -> DataFrame:
-    """token, cf and a map of doc_id to norm_tf (and positions): the shape of the JSON export."""
+def nested(posted: DataFrame, per_row: int = 10_000) -> DataFrame:
+    """token, cf, block and a map of doc_id to norm_tf (and positions): the shape of the JSON export. A token of more than ``per_row`` documents has several rows, dealt by a hash of the document."""
     value = F.struct("norm_tf", "positions") if "positions" in posted.columns else F.col("norm_tf")
-    return posted.groupBy("token").agg(F.sum("tf").alias("cf"), F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col("doc_id"), value.alias("value"))))).alias("docs"))
+    stats = terms(posted).select("token", "cf", F.ceil(F.col("df") / per_row).alias("blocks"))
+    rows = posted.join(stats, "token").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    return rows.groupBy("token", "cf", "block").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col("doc_id"), value.alias("value"))))).alias("docs"))

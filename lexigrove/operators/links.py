@@ -37,11 +37,13 @@ def registered_domain(host: Column, suffixes: list[str]) -> Column:
 
 
 def internal(found: DataFrame, whitelist: DataFrame, domain: Column | None = None) -> DataFrame:
-    """URLs whose host or registered domain is whitelisted."""
+    """URLs whose host or registered domain is whitelisted. Both names of a URL are keys of one equi-join; hosts repeat, so they are joined once each."""
     host = urls.host(F.col("url"))
     keyed = found.withColumns({"_host": host, "_domain": urls.domain(host) if domain is None else domain})
-    names = whitelist.select(F.col("host").alias("_white"))
-    return keyed.join(names, (F.col("_white") == F.col("_host")) | (F.col("_white") == F.col("_domain")), "left_semi").drop("_host", "_domain")
+    names = keyed.select("_host", "_domain").distinct().select("_host", F.explode(F.array_distinct(F.array("_host", "_domain"))).alias("_name"))
+    white = whitelist.select(F.col("host").alias("_name")).distinct()
+    inside = names.join(white, "_name", "left_semi").select("_host").distinct()
+    return keyed.join(inside, "_host", "left_semi").select(*found.columns)
 
 
 def allowed(found: DataFrame, robots: DataFrame, agent: str = "*") -> DataFrame:

@@ -4,25 +4,23 @@ from __future__ import annotations
 
 import warnings
 from collections import Counter
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexigrove.operators.analyze import Analyzer, query_tokens
-from lexigrove.operators.index import universe
+from lexigrove.operators.analyze import Analyzer, query_tokens, tokens_of
 from lexigrove.plans.boolean import Node, parse
 from lexigrove.sources.tables import Index, pruned
 
-
-def doc_count(index: Index) -> DataFrame:
-    """n: the documents with a posting, in one row."""
-    return index.postings.agg(F.count_distinct("doc_id").alias("n"))
+# What a terminal is told.
+FOUND, NOTHING = "Suchergebnisse für Ihre Suche:", "Nichts gefunden."
 
 
 def tfidf_cells(index: Index, tokens: list[str]) -> DataFrame:
     """token, doc_id, tfidf by the decimal logarithm."""
-    stats = pruned(index.terms, tokens).crossJoin(F.broadcast(doc_count(index))).select("token", F.log10(F.col("n") / F.col("df")).alias("idf"))
-    return pruned(index.postings, tokens).join(F.broadcast(stats), "token").select("token", "doc_id", (F.col("norm_tf") * F.col("idf")).alias("tfidf"))
+    stats = pruned(index, "terms", tokens).crossJoin(F.broadcast(index.n)).select("token", F.log10(F.col("n") / F.col("df")).alias("idf"))
+    return pruned(index, "postings", tokens).join(F.broadcast(stats), "token").select("token", "doc_id", (F.col("norm_tf") * F.col("idf")).alias("tfidf"))
 
 
 def free_search(index: Index, tokens: list[str], k: int | None = None) -> DataFrame:
@@ -46,9 +44,9 @@ def _compiled(node: Node, flags: dict[str, Column]) -> Column:
 def boolean_search(index: Index, node: Node) -> DataFrame:
     """doc_id, ascending. One aggregation by document; the universe is joined only if a document without any of the terms would match."""
     leaves = node.leaves()
-    hits = pruned(index.postings, leaves).groupBy("doc_id").agg(*(F.bool_or(F.col("token") == t).alias(f"has{i}") for i, t in enumerate(leaves)))
+    hits = pruned(index, "postings", leaves).groupBy("doc_id").agg(*(F.bool_or(F.col("token") == t).alias(f"has{i}") for i, t in enumerate(leaves)))
     if node.holds(set()):
-        hits = universe(index.postings).join(hits, "doc_id", "left")
+        hits = index.docs.join(hits, "doc_id", "left")
     flags = {t: F.coalesce(F.col(f"has{i}"), F.lit(False)) for i, t in enumerate(leaves)}
     return hits.where(_compiled(node, flags)).select("doc_id").orderBy("doc_id")
 
@@ -59,14 +57,14 @@ def boolean_by_sets(index: Index, node: Node) -> DataFrame:
         return index.postings.where(F.col("token") == node.term).select("doc_id").distinct()
     parts = [boolean_by_sets(index, p) for p in node.parts]
     if node.op == "NOT":
-        return universe(index.postings).exceptAll(parts[0])
+        return index.docs.exceptAll(parts[0])
     return parts[0].intersect(parts[1]) if node.op == "AND" else parts[0].union(parts[1]).distinct()
 
 
 def phrase_candidates(index: Index, tokens: list[str]) -> DataFrame:
     """Documents that have all tokens."""
     wanted = sorted(set(tokens))
-    return pruned(index.postings, wanted).groupBy("doc_id").agg(F.count_distinct("token").alias("n")).where(F.col("n") == len(wanted)).select("doc_id")
+    return pruned(index, "postings", wanted).groupBy("doc_id").agg(F.count_distinct("token").alias("n")).where(F.col("n") == len(wanted)).select("doc_id")
 
 
 def phrase_search(index: Index, tokens: list[str]) -> DataFrame:
@@ -75,7 +73,7 @@ def phrase_search(index: Index, tokens: list[str]) -> DataFrame:
         return index.tokens.select("doc_id", F.col("pos").alias("first_pos")).limit(0)
     spark = index.tokens.sparkSession
     phrase = spark.createDataFrame(list(enumerate(tokens)), "off int, token string")
-    votes = pruned(index.tokens, sorted(set(tokens))).join(F.broadcast(phrase), "token").select("doc_id", (F.col("pos") - F.col("off")).alias("start"), "off").where("start >= 0")
+    votes = pruned(index, "tokens", sorted(set(tokens))).join(F.broadcast(phrase), "token").select("doc_id", (F.col("pos") - F.col("off")).alias("start"), "off").where("start >= 0")
     if len(tokens) < 63:
         full = votes.groupBy("doc_id", "start").agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("off"))).alias("mask")).where(F.col("mask") == (1 << len(tokens)) - 1)
     else:
@@ -93,8 +91,7 @@ def search(index: Index, query: str | list[str], mode: str = "free", k: int | No
     if mode == "boolean":
         tree = parse(text)
         names = {}
-        for leaf in tree.leaves():
-            found = query_tokens(spark, leaf, config)
+        for leaf, found in zip(tree.leaves(), tokens_of(spark, tree.leaves(), config), strict=True):
             if not found:
                 warnings.warn(f"{leaf!r} has no token and matches no document", stacklevel=2)
             names[leaf] = found[0] if found else ""
@@ -104,3 +101,16 @@ def search(index: Index, query: str | list[str], mode: str = "free", k: int | No
     else:
         raise ValueError(f"unknown mode {mode!r}")
     return out if k is None else out.limit(k)
+
+
+def show(found: DataFrame) -> Iterator[str]:
+    """Lines for a terminal: a heading and the documents in their order, fetched a partition at a time, or that there are none."""
+    empty = True
+    for row in found.toLocalIterator():
+        if empty:
+            yield FOUND
+            yield ""
+            empty = False
+        yield str(row["doc_id"])
+    if empty:
+        yield NOTHING

@@ -70,10 +70,17 @@ def _postings(spark, d):
     return I.postings(_tokens(spark, d))
 
 
-def _index(spark, d):
-    tokens = _tokens(spark, d)
-    posted = I.postings(tokens)
-    return tables.Index(tokens, posted, I.terms(posted))
+_SAVED: dict[tuple[str, str], str] = {}
+
+
+def saved_index(spark, d):
+    """The saved index of the documents of a folder: built once an application, then searched by all queries."""
+    at = (spark.sparkContext.applicationId, d)
+    if at not in _SAVED:
+        path = tables.scratch(spark, "index")
+        I.build_index(_docs(spark, d), path=path)
+        _SAVED[at] = path
+    return tables.load_index(spark, _SAVED[at])
 
 
 def _joined(column):
@@ -112,6 +119,26 @@ def lemma_map_merge(spark, d):
     return lexicons.merged_lemmata([spark.createDataFrame(m, "word string, lemma string") for m in _MAPS])
 
 
+_LINES = [(0, "x.;eins "), (1, "x.; zwei"), (2, "bad"), (3, "y;a;b"), (4, " z.;drei"), (5, "x.;eins ")]
+_CORPUS = [(0, "1 ging gehen"), (1, "2 ging laufen"), (2, "3 gehen gehen"), (3, "4 x --"), (4, "5 y"), (5, "6  Daten   Datum"), (6, "7 a b c")]
+_STOP_LINES = [(0, " Der "), (1, "STRASSE"), (2, "Straße"), (3, ""), (4, "der")]
+
+
+@query(f"SELECT key, arg_max(value, line_no) AS value, min(line_no) AS line_no FROM (SELECT line_no, string_split(value, ';')[1] AS key, trim(string_split(value, ';')[2]) AS value FROM (VALUES {_values(_LINES)}) v(line_no, value) WHERE len(string_split(value, ';')) = 2) GROUP BY key")
+def abbreviation_lines(spark, d):
+    return lexicons.pairs_of(spark.createDataFrame(_LINES, "line_no int, value string"))
+
+
+@query(f"SELECT w AS word, arg_min(l, line_no) AS lemma FROM (SELECT line_no, p[2] AS w, p[3] AS l FROM (SELECT line_no, regexp_split_to_array(trim(value), '\\s+') AS p FROM (VALUES {_values(_CORPUS)}) v(line_no, value)) WHERE len(p) = 3) WHERE w <> l AND NOT starts_with(l, '--') GROUP BY w")
+def corpus_lemmata(spark, d):
+    return lexicons.corpus_lemmata(spark.createDataFrame(_CORPUS, "line_no int, value string"), columns=3)
+
+
+@query("SELECT * FROM (VALUES ('der'), ('strasse')) v(word)")
+def stopword_lines(spark, d):
+    return lexicons.stopwords_of(spark.createDataFrame(_STOP_LINES, "line_no int, value string"))
+
+
 _STATUS = "CASE WHEN page_id % 7 = 0 THEN 301 WHEN page_id % 7 = 1 THEN 404 WHEN page_id % 7 = 2 THEN 204 WHEN page_id % 7 = 3 THEN 308 ELSE 200 END"
 _MIME = "CASE WHEN page_id % 5 = 0 THEN 'application/pdf' ELSE 'text/html' END"
 
@@ -215,9 +242,24 @@ def page_documents(spark, d):
     return A.spread(_table(spark, d, "pages")).select("url", html.raw_title(F.col("html")).alias("title"), _page_text().alias("text")).where(F.length("text") > 0)
 
 
+_ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&#x27;": "'", "&nbsp;": "\u00a0", "&amp;": "&"}
+
+
+def _unescaped(column):
+    for entity, plain in _ENTITIES.items():
+        column = f"replace({column}, '{entity}', '{plain.replace(Q, Q * 2)}')"
+    return column
+
+
+# no SQL: the pages leave paragraphs open, which a parser closes and patterns do not
 @query()
 def page_body_parsed(spark, d):
-    return A.spread(_table(spark, d, "pages")).select("page_id", html.unescaped(html.raw_title(F.col("html"))).alias("title"), html.body_text(F.col("html"), (("h1", None), ("p", None))).alias("text"))
+    return A.spread(_table(spark, d, "pages")).select("page_id", html.parsed(F.col("html"))["title"].alias("title"), html.body_text(F.col("html"), (("h1", None), ("p", None))).alias("text"))
+
+
+@query(f"WITH {_LINKS} SELECT page_id, {_unescaped('href')} AS href FROM l")
+def page_links_parsed(spark, d):
+    return A.spread(_table(spark, d, "pages")).select("page_id", F.explode(html.parsed(F.col("html"))["links"]).alias("href"))
 
 
 @query("SELECT page_id, list_last(string_split(url, '/')) AS file_name FROM pages")
@@ -252,6 +294,15 @@ def sentence_count(spark, d):
     return A.spread(_docs(spark, d)).select("doc_id", F.size(X.sentences(F.col("text"))).cast("long").alias("sentences"))
 
 
+SENTENCE_SAMPLES = ["Er kam z.B. um acht. Dr. Meier ging! Und? Ja.", "Das ist die Nr. 5. Nicht bzw. doch. Ende", "usw. und (vgl. oben) fort."]
+SENTENCE_ABBREVIATIONS = ["z.B.", "Dr.", "Nr.", "bzw.", "usw.", "vgl."]
+
+
+@query(f"SELECT doc_id, CAST(len(list_filter(string_split(regexp_replace(regexp_replace(text, '(?i)(^|[\\s(])(z\\.B|Dr|Nr|bzw|usw|vgl)\\.', '\\1\\2' || chr(2), 'g'), '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda s: length(trim(s)) > 0)) AS BIGINT) AS sentences FROM {_samples_sql(SENTENCE_SAMPLES)}")
+def sentence_abbreviations(spark, d):
+    return _with_samples(spark, d, SENTENCE_SAMPLES).select("doc_id", F.size(X.sentences(F.col("text"), SENTENCE_ABBREVIATIONS)).cast("long").alias("sentences"))
+
+
 _H = X.HYPHEN
 
 
@@ -293,17 +344,37 @@ def token_count(spark, d):
     return A.spread(_docs(spark, d)).select("doc_id", F.size(X.tokens(F.col("text"))).cast("long").alias("tokens"))
 
 
-_SHAPE = "CASE " + " ".join(f"WHEN regexp_matches(word, '{p}') THEN '{n}'" for n, p in X.SHAPES[:-1]).replace(r"^\W+$", r"^[^\p{L}\p{N}_]+$") + r" WHEN regexp_matches(word, '^[\p{L}\p{N}_]+$') THEN 'mixedcase' ELSE 'other' END"
+SHAPE_SAMPLES = ["12a", "3,5 ,5 .5 , ;", "DataScience", "GmbH McDonald", "haus.garten", "E-Mail- IT-Abteilung", "A--B A-b", "é2 Éa _x", "aB1 Z9 -7 1.2.3", "Straße ÄÖÜ ß"]
+# written by hand: a match begins at the start of the word, and only some of these patterns reach its end
+_SHAPE = r"""CASE WHEN regexp_matches(word, '^([0-9]+([.,][0-9]*)?|[0-9]*[.,][0-9]+$)') THEN 'number'
+ WHEN regexp_matches(word, '^[^\p{L}\p{N}_]+$') THEN 'punct' WHEN regexp_matches(word, '^([A-ZÄÖÜ]+[a-zäöüß]*-?)+$') THEN 'upcase'
+ WHEN regexp_matches(word, '^[a-zäöüß]+') THEN 'downcase' WHEN regexp_matches(word, '^[\p{L}\p{N}_]+') THEN 'mixedcase' ELSE 'other' END"""
+_SHAPED = f"y AS (SELECT word FROM w UNION ALL SELECT unnest(string_split(s, ' ')) FROM (VALUES {_values([(x,) for x in SHAPE_SAMPLES])}) v(s))"
 
 
-@query(f"WITH {_W} SELECT word, {_SHAPE} AS shape, count(*) AS n FROM w GROUP BY ALL")
+@query(f"WITH {_W}, {_SHAPED} SELECT word, {_SHAPE} AS shape, count(*) AS n FROM y GROUP BY ALL")
 def token_shape(spark, d):
-    return _tokens(spark, d).groupBy("word").agg(F.count("*").alias("n")).select("word", X.shape(F.col("word")).alias("shape"), "n")
+    samples = spark.createDataFrame([(w,) for s in SHAPE_SAMPLES for w in s.split(" ")], "word string")
+    return _tokens(spark, d).select("word").unionAll(samples).groupBy("word").agg(F.count("*").alias("n")).select("word", X.shape(F.col("word")).alias("shape"), "n")
 
 
-@query(f"WITH {_W} SELECT doc_id, pos, word, lower(word) AS lower, right(word, 3) AS suffix3, left(word, 1) AS prefix1, lag(word) OVER o AS prev, lag(word, 2) OVER o AS prevprev, {_SHAPE} AS shape FROM w WINDOW o AS (PARTITION BY doc_id ORDER BY pos)")
+_PAIR = "coalesce({0}, 'None') || '+' || word"
+_CONTEXT = f"doc_id, pos, word, lower(word) AS lower, right(lower(word), 3) AS suffix3, left(word, 1) AS prefix1, prevword, prevprevword, {_PAIR.format('prevword')} AS \"prevword+word\", {_SHAPE} AS shape"
+_LAGS = "lag(word) OVER o AS prevword, lag(word, 2) OVER o AS prevprevword"
+
+
+@query(f"WITH {_W}, x AS (SELECT *, {_LAGS} FROM w WINDOW o AS (PARTITION BY doc_id ORDER BY pos)) SELECT {_CONTEXT} FROM x")
 def token_context(spark, d):
-    return A.context_features(_tokens(spark, d))
+    return A.context_features(_tokens(spark, d).drop("token"))
+
+
+_TOY_TAG = "CASE WHEN regexp_matches({0}, '^[A-ZÄÖÜ]') THEN 'NN' WHEN length({0}) < 4 THEN 'ART' WHEN right({0}, 2) = 'en' THEN 'VVINF' ELSE 'ADV' END"
+
+
+@query(f"WITH {_W}, g AS (SELECT *, {_TOY_TAG.format('word')} AS tag FROM w), x AS (SELECT *, {_LAGS}, lag(tag) OVER o AS prevtag, lag(tag, 2) OVER o AS prevprevtag FROM g WINDOW o AS (PARTITION BY doc_id ORDER BY pos)) SELECT {_CONTEXT}, tag, prevtag, prevprevtag, {_PAIR.format('prevtag')} AS \"prevtag+word\", {_PAIR.format('prevprevtag')} AS \"prevprevtag+word\" FROM x")
+def tagged_context(spark, d):
+    tags = F.when(F.col("word").rlike("^[A-ZÄÖÜ]"), "NN").when(F.length("word") < 4, "ART").when(F.right("word", F.lit(2)) == "en", "VVINF").otherwise("ADV")
+    return A.context_features(_tokens(spark, d).drop("token").withColumn("tag", tags))
 
 
 @query(f"SELECT sent, word, tag FROM (VALUES {_values(TAGGED)}) v(sent, word, tag) WHERE tag NOT IN ({_in(verbs.EXCLUDED_TAGS)}) AND length(word) > 1")
@@ -312,11 +383,52 @@ def pos_filter(spark, d):
     return rows.select("sent", F.explode(verbs.kept_by_tag(F.col("tagged"))).alias("x")).select("sent", "x.word", F.col("x.pos").alias("tag"))
 
 
-@query()
+# sentences with one tag pattern of a separable verb each, and what becomes of them, by hand
+VERB_WORDS = {"abfährt", "aufmacht", "mitnimmt", "ansieht", "ausgeht", "fernsieht"}
+VERB_SENTENCES = [
+    [("fährt", "VVFIN"), ("heute", "ADV"), ("ab", "PTKVZ")],
+    [("macht", "VVFIN"), ("die", "ART"), ("alte", "ADJA"), ("Tür", "NN"), ("auf", "APPR"), ("macht", "VVFIN")],
+    [("nimmt", "VVFIN"), ("keine", "PIAT"), ("zwei", "CARD"), ("Hunde", "NN"), ("mit", "APPR")],
+    [("sieht", "VVFIN"), ("Anna", "NE"), ("an", "APPR"), ("und", "KON"), ("sieht", "VVFIN"), ("fern", "APPR")],
+    [("geht", "VVFIN"), ("bald", "ADV"), ("aus", "APPR")],
+    [("geht", "VVFIN"), ("dort", "ADV"), ("um", "APPR")],
+    [("Haus", "NN"), ("steht", "VVFIN")],
+]
+_MERGED = [
+    (0, 0, "abfährt", "VVFIN"), (0, 1, "heute", "ADV"),
+    (1, 0, "aufmacht", "VVFIN"), (1, 1, "die", "ART"), (1, 2, "alte", "ADJA"), (1, 3, "Tür", "NN"), (1, 4, "macht", "VVFIN"),
+    (2, 0, "mitnimmt", "VVFIN"), (2, 1, "keine", "PIAT"), (2, 2, "zwei", "CARD"), (2, 3, "Hunde", "NN"),
+    (3, 0, "ansieht", "VVFIN"), (3, 1, "Anna", "NE"), (3, 2, "und", "KON"), (3, 3, "fernsieht", "VVFIN"),
+    (4, 0, "ausgeht", "VVFIN"), (4, 1, "bald", "ADV"),
+    (5, 0, "geht", "VVFIN"), (5, 1, "dort", "ADV"), (5, 2, "um", "APPR"),
+    (6, 0, "Haus", "NN"), (6, 1, "steht", "VVFIN"),
+]
+_PAIRS = "tagged array<struct<word:string,pos:string>>"
+
+
+def _exploded(rows, tagged):
+    return rows.select("id", F.posexplode(tagged).alias("i", "x")).select("id", "i", "x.word", "x.pos")
+
+
+@query(f"SELECT * FROM (VALUES {_values(_MERGED)}) v(id, i, word, pos)")
 def verb_merge(spark, d):
-    known = {"abfährt"}
-    rows = spark.createDataFrame([("a", [("fährt", "VVFIN"), ("heute", "ADV"), ("ab", "PTKVZ")])], "id string, tagged array<struct<word:string,pos:string>>")
-    return rows.select("id", F.posexplode(verbs.merged_verbs(F.col("tagged"), known.__contains__)).alias("i", "x")).select("id", "i", "x.word", "x.pos")
+    rows = spark.createDataFrame(list(enumerate(VERB_SENTENCES)), f"id int, {_PAIRS}")
+    return _exploded(rows, verbs.merged_verbs(F.col("tagged"), VERB_WORDS.__contains__))
+
+
+_NOUN_SENTENCES = [
+    [("Data", "NN"), ("Science", "NN"), ("Labor", "NE"), ("neu", "ADJD")],
+    [("Anna", "NE"), ("'s", "PPER"), ("Haus", "NN")],
+    [("Haus", "NN"), ("und", "KON"), ("Tür", "NN"), ("Griff", "NN")],
+    [("Berg", "NN"), ("Tal", "NN")],
+]
+_JOINED = [(0, 0, "Datasciencelabor", "NN"), (0, 1, "neu", "ADJD"), (1, 0, "Annashaus", "NN"), (2, 0, "Haus", "NN"), (2, 1, "und", "KON"), (2, 2, "Türgriff", "NN"), (3, 0, "Berg", "NN"), (3, 1, "Tal", "NN")]
+
+
+@query(f"SELECT * FROM (VALUES {_values(_JOINED)}) v(id, i, word, pos)")
+def compound_nouns(spark, d):
+    rows = spark.createDataFrame(list(enumerate(_NOUN_SENTENCES)), f"id int, {_PAIRS}")
+    return _exploded(rows, verbs.joined_nouns(F.col("tagged"), {"Datasciencelabor", "Annashaus", "Türgriff"}.__contains__))
 
 
 _STOPPED = f"ws AS (SELECT doc_id, unnest(l) AS word, CAST(generate_subscripts(l, 1) - 1 AS BIGINT) AS pos FROM (SELECT doc_id, list_filter(regexp_extract_all(text, '{_TOKEN}'), lambda x: replace(lower(x), 'ß', 'ss') NOT IN ({_in(STOPWORDS)})) AS l FROM documents))"
@@ -330,13 +442,13 @@ def stopword_filter(spark, d):
 
 @query(f"WITH {_W}, {_LEMMA} SELECT word, replace(lower(coalesce(any_value(lemma), word)), 'ß', 'ss') AS token, count(*) AS n FROM w LEFT JOIN m USING (word) GROUP BY word")
 def lemmatize(spark, d):
-    words = A.spread(_docs(spark, d)).select(F.explode(X.tokens(F.col("text"))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    words = A.spread(_docs(spark, d)).select(F.explode_outer(X.tokens(F.col("text"))).alias("word")).where("word is not null").groupBy("word").agg(F.count("*").alias("n"))
     return A.with_lemma(words, LEMMATA).select("word", "token", "n")
 
 
 @query(f"WITH {_T} SELECT DISTINCT word, token FROM t")
 def casefold(spark, d):
-    return A.spread(_docs(spark, d)).select(F.explode(X.tokens(F.col("text"))).alias("word")).distinct().select("word", X.casefold(F.col("word")).alias("token"))
+    return A.spread(_docs(spark, d)).select(F.explode_outer(X.tokens(F.col("text"))).alias("word")).where("word is not null").distinct().select("word", X.casefold(F.col("word")).alias("token"))
 
 
 @query(f"WITH {_T} SELECT doc_id, word, count(DISTINCT token) AS n FROM t GROUP BY ALL HAVING count(DISTINCT token) > 1")
@@ -354,7 +466,7 @@ _TYPOS = ["thingg", "thng", "heree", "eren", "zzzzz", "tionn"]
 
 @query(f"WITH {_W}, v AS (SELECT DISTINCT word FROM w), q(word) AS (VALUES {_values([(t,) for t in _TYPOS])}) SELECT q.word, min(v.word) AS suggestion FROM q JOIN v ON levenshtein(q.word, v.word) = 1 WHERE q.word NOT IN (SELECT word FROM v) GROUP BY q.word")
 def suggest_spelling(spark, d):
-    words = A.spread(_docs(spark, d)).select(F.explode(X.tokens(F.col("text"))).alias("word")).distinct()
+    words = A.spread(_docs(spark, d)).select(F.explode_outer(X.tokens(F.col("text"))).alias("word")).where("word is not null").distinct()
     return A.spelling_suggestions(spark.createDataFrame([(t,) for t in _TYPOS], "word string"), words)
 
 
@@ -378,19 +490,19 @@ def rel_tf(spark, d):
 
 @query(f"WITH {_S} SELECT token, cf FROM s")
 def collection_freq(spark, d):
-    return I.terms(I.term_freq(_tokens(spark, d))).select("token", "cf")
+    return saved_index(spark, d).terms.select("token", "cf")
 
 
 @query(f"WITH {_S} SELECT token, df FROM s")
 def doc_freq(spark, d):
-    return I.terms(I.term_freq(_tokens(spark, d))).select("token", "df")
+    return saved_index(spark, d).terms.select("token", "df")
 
 
 @query(f"WITH {_S} SELECT token, cf, df, doc_id, tf, round(norm_tf, 6) AS norm_tf FROM p JOIN s USING (token)")
 def inverted_index(spark, d):
-    # statistics are summed before they are shuffled, and a join of skewed tokens can be split; a window would hold all postings of a token in one task
-    posted = _postings(spark, d)
-    return posted.join(I.terms(posted), "token").select("token", "cf", "df", "doc_id", "tf", F.round("norm_tf", 6).alias("norm_tf"))
+    # a join of skewed tokens can be split; a window would hold all postings of a token in one task
+    index = saved_index(spark, d)
+    return index.postings.join(index.terms.drop("bucket"), "token").select("token", "cf", "df", "doc_id", "tf", F.round("norm_tf", 6).alias("norm_tf"))
 
 
 @query(f"WITH {_T} SELECT token, doc_id, string_agg(CAST(pos AS VARCHAR), ' ' ORDER BY pos) AS positions FROM t GROUP BY ALL")
@@ -409,20 +521,20 @@ def _all_docs(spark, d):
 
 @query(f"WITH {_S} SELECT token, doc_id, round(norm_tf, 6) AS norm_tf, round(ln(nd.n / df), 6) AS idf, round(norm_tf * ln(nd.n / df), 6) AS tfidf FROM p JOIN s USING (token), nd")
 def tfidf_long(spark, d):
-    posted = _postings(spark, d)
-    rows = export.tfidf_long(posted, I.terms(posted), _all_docs(spark, d))
+    index = saved_index(spark, d)
+    rows = export.tfidf_long(index.postings, index.terms, _all_docs(spark, d))
     return rows.select("token", "doc_id", *(F.round(c, 6).alias(c) for c in ("norm_tf", "idf", "tfidf")))
 
 
 @query(f"WITH {_S} SELECT token, round(ln(nd.n / df), 6) AS idf FROM s, nd")
 def idf_ln(spark, d):
-    return I.idf(I.terms(I.term_freq(_tokens(spark, d))), _all_docs(spark, d), "ln").select("token", F.round("idf", 6).alias("idf"))
+    return I.idf(saved_index(spark, d).terms, _all_docs(spark, d), "ln").select("token", F.round("idf", 6).alias("idf"))
 
 
 @query(f"WITH {_S} SELECT token, round(log10(n.n / df), 6) AS idf FROM s, n")
 def idf_log10(spark, d):
-    index = _index(spark, d)
-    return I.idf(index.terms, S.doc_count(index)).select("token", F.round("idf", 6).alias("idf"))
+    index = saved_index(spark, d)
+    return I.idf(index.terms, index.n).select("token", F.round("idf", 6).alias("idf"))
 
 
 @query(f"WITH {_T} SELECT token, string_agg(DISTINCT word, ' ' ORDER BY word) AS words FROM t GROUP BY token")
@@ -432,7 +544,7 @@ def lemma_words(spark, d):
 
 @query(f"WITH {_P} SELECT DISTINCT doc_id FROM p")
 def universe(spark, d):
-    return I.universe(_tokens(spark, d))
+    return saved_index(spark, d).docs
 
 
 # search
@@ -440,7 +552,7 @@ def universe(spark, d):
 
 @query(f"WITH {_C} SELECT token, doc_id, round(tfidf, 6) AS tfidf FROM c WHERE token IN ({_in(TERMS)})")
 def tfidf_cell(spark, d):
-    return S.tfidf_cells(_index(spark, d), TERMS).select("token", "doc_id", F.round("tfidf", 6).alias("tfidf"))
+    return S.tfidf_cells(saved_index(spark, d), TERMS).select("token", "doc_id", F.round("tfidf", 6).alias("tfidf"))
 
 
 def _free(words, k=None):
@@ -451,7 +563,7 @@ def _free(words, k=None):
 
 def _scored(spark, d, words, k=None):
     # the score is rounded after the order is settled
-    return S.free_search(_index(spark, d), words, k).select("doc_id", F.round("score", 6).alias("score"))
+    return S.free_search(saved_index(spark, d), words, k).select("doc_id", F.round("score", 6).alias("score"))
 
 
 @query(_free(["und"]))
@@ -474,31 +586,33 @@ def free_search_topk(spark, d):
     return _scored(spark, d, TERMS, 10)
 
 
-def _boolean(text):
-    def value(node):
-        if node.op == "TERM":
-            return f"bool_or(token = '{node.term}')"
-        parts = [value(p) for p in node.parts]
-        return f"(NOT {parts[0]})" if node.op == "NOT" else "(" + f" {node.op} ".join(parts) + ")"
-
-    return f"WITH {_P} SELECT doc_id FROM p GROUP BY doc_id HAVING {value(parse(text))}"
+def _having(condition):
+    return f"WITH {_T} SELECT doc_id FROM t GROUP BY doc_id HAVING {condition}"
 
 
-def _add_boolean(name, text):
+def _add_boolean(name, text, condition):
     def run(spark, d):
-        return S.boolean_search(_index(spark, d), parse(text))
+        return S.boolean_search(saved_index(spark, d), parse(text))
 
     run.__name__ = name
-    query(_boolean(text))(run)
+    query(_having(condition))(run)
 
 
-for _name, _text in {"bool_and": "der AND und", "bool_or": "der OR la", "bool_not": "NOT the", "bool_and_not": "der AND NOT und", "bool_nested": "(der OR la) AND NOT (und OR que)", "bool_precedence": "the OR der AND NOT und OR la AND que"}.items():
-    _add_boolean(_name, _text)
+# each expression and, written by hand, how often its words must occur
+for _name, _text, _condition in [
+    ("bool_and", "der AND und", "count(*) FILTER (token = 'der') > 0 AND count(*) FILTER (token = 'und') > 0"),
+    ("bool_or", "der OR la", "count(*) FILTER (token IN ('der', 'la')) > 0"),
+    ("bool_not", "NOT the", "count(*) FILTER (token = 'the') = 0"),
+    ("bool_and_not", "der AND NOT und", "count(*) FILTER (token = 'der') > 0 AND count(*) FILTER (token = 'und') = 0"),
+    ("bool_nested", "(der OR la) AND NOT (und OR que)", "count(*) FILTER (token IN ('der', 'la')) > 0 AND count(*) FILTER (token IN ('und', 'que')) = 0"),
+    ("bool_precedence", "the OR der AND NOT und OR la AND que", "count(*) FILTER (token = 'the') > 0 OR (count(*) FILTER (token = 'der') > 0 AND count(*) FILTER (token = 'und') = 0) OR (count(*) FILTER (token = 'la') > 0 AND count(*) FILTER (token = 'que') > 0)"),
+]:
+    _add_boolean(_name, _text, _condition)
 
 
-@query(_boolean("der AND die AND und"))
+@query(_having("count(DISTINCT token) FILTER (token IN ('der', 'die', 'und')) = 3"))
 def phrase_candidates(spark, d):
-    return S.phrase_candidates(_index(spark, d), ["der", "die", "und"])
+    return S.phrase_candidates(saved_index(spark, d), ["der", "die", "und"])
 
 
 def _phrase(words):
@@ -508,7 +622,7 @@ def _phrase(words):
 
 def _add_phrase(name, words):
     def run(spark, d):
-        return S.phrase_search(_index(spark, d), words)
+        return S.phrase_search(saved_index(spark, d), words)
 
     run.__name__ = name
     query(_phrase(words))(run)

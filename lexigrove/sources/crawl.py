@@ -5,11 +5,10 @@ A fetcher maps a URL to (status, mime, body, location); it is injected, so tests
 
 from __future__ import annotations
 
+import http.client
 import time
-import urllib.error
-import urllib.request
 from collections.abc import Callable
-from urllib.parse import urlsplit
+from urllib.parse import quote, urlsplit
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -22,20 +21,24 @@ Fetched = tuple[int, str, str, str]
 FETCH = "url string, status int, mime string, html string, location string, visited_at timestamp"
 
 
-class _Unfollowed(urllib.request.HTTPErrorProcessor):
-    def http_response(self, request, response):
-        return response
-
-    https_response = http_response
-
-
 def http_fetch(url: str, agent: str = "lexigrove", timeout: float = 20.0) -> Fetched:
-    """One GET that follows no redirect; a failed connection has status 0."""
+    """One GET on a connection of its own, so no redirect is followed; a failed connection has status 0."""
+    parts = urlsplit(url)
+    kind = {"http": http.client.HTTPConnection, "https": http.client.HTTPSConnection}.get(parts.scheme)
+    if kind is None or not parts.netloc:
+        return 0, "", "", ""
+    connection = None
     try:
-        with urllib.request.build_opener(_Unfollowed).open(urllib.request.Request(url, headers={"User-Agent": agent}), timeout=timeout) as r:
-            return r.status, (r.headers.get_content_type() or ""), r.read().decode(r.headers.get_content_charset() or "utf-8", "replace"), r.headers.get("Location") or ""
-    except (urllib.error.URLError, OSError, ValueError):
+        connection = kind(parts.netloc.rpartition("@")[2], timeout=timeout)
+        line = quote(parts.path or "/", safe="/%:@!$&'()*+,;=~") + (f"?{quote(parts.query, safe='/%:@!$&()*+,;=~?')}" if parts.query else "")
+        connection.request("GET", line, headers={"User-Agent": agent})
+        r = connection.getresponse()
+        return r.status, (r.headers.get_content_type() or ""), r.read().decode(r.headers.get_content_charset() or "utf-8", "replace"), r.headers.get("Location") or ""
+    except (http.client.HTTPException, OSError, ValueError, LookupError):
         return 0, "", "", ""
+    finally:
+        if connection is not None:
+            connection.close()
 
 
 def action(status: Column, mime: Column) -> Column:
@@ -78,30 +81,48 @@ def fetch(frontier: DataFrame, fetcher: Callable[[str], Fetched] = http_fetch, p
     return frontier.select("url", urls.host(F.col("url")).alias("host")).repartition("host").select("url").mapInPandas(run, FETCH)
 
 
-def crawl(spark: SparkSession, seed: str, domains: list[str], path: str, fetcher: Callable[[str], Fetched] = http_fetch, *, polite: float = 2.0, rounds: int = 50, agent: str = "*") -> DataFrame:
-    """Crawls from a seed within the whitelist; each round is written under ``path``. Returns url, title, text, html, visited_at of stored pages."""
+def robots_rules(fetched: DataFrame) -> DataFrame:
+    """host, agent, allow, path_prefix of fetched robots files; what could not be fetched has no rules."""
+
+    def parse(batches):
+        for batch in batches:
+            yield pd.DataFrame([r for u, status, body in zip(batch["url"], batch["status"], batch["html"], strict=True) if status == 200 for r in parse_robots(urlsplit(u).netloc, body)], columns=["host", "agent", "allow", "path_prefix"])
+
+    return fetched.select("url", "status", "html").mapInPandas(parse, "host string, agent string, allow boolean, path_prefix string")
+
+
+def crawl(spark: SparkSession, seed: str, domains: list[str], path: str, fetcher: Callable[[str], Fetched] = http_fetch, *, polite: float = 2.0, rounds: int = 50, agent: str = "*", suffixes: list[str] | None = None) -> DataFrame:
+    """Crawls from a seed within the whitelist; each round is written under ``path``. Returns url, title, text, html, visited_at of stored pages.
+
+    A round first fetches the robots files of hosts that are new, as politely and by the same executors as pages.
+    With ``suffixes``, the public suffixes, a registered domain is one label more than a suffix; without, the last two labels.
+    """
     frontier = spark.createDataFrame([(seed,)], "url string").select(urls.normalize(F.col("url")).alias("url"))
     start = frontier.first()["url"]
     white = links.expand_whitelist(spark.createDataFrame([(d,) for d in [urlsplit(start).hostname or "", *domains]], "host string"))
-    visited = spark.createDataFrame([], "url string")
-    known: dict[str, list] = {}
+    domain = None if suffixes is None else links.registered_domain(urls.host(F.col("url")), suffixes)
+    visited, asked = spark.createDataFrame([], "url string"), spark.createDataFrame([], "url string")
+
+    def written(kind: str, n: int) -> DataFrame:
+        return spark.read.schema(FETCH).parquet(*[f"{path}/{kind}={k}" for k in range(n + 1)])
+
     for n in range(rounds):
-        for r in frontier.select(urls.scheme(F.col("url")).alias("s"), urls.host(F.col("url")).alias("h")).distinct().toLocalIterator():
-            if r["h"] not in known:  # a host's robots file is fetched once
-                status, _, body, _ = fetcher(f"{r['s']}://{r['h']}/robots.txt")
-                known[r["h"]] = parse_robots(r["h"], body) if status == 200 else []
-        robots = spark.createDataFrame([x for rules in known.values() for x in rules], "host string, agent string, allow boolean, path_prefix string")
-        todo = links.allowed(links.internal(frontier, white), robots, agent).join(visited, "url", "left_anti").dropDuplicates(["url"])
+        inside = links.internal(frontier, white, domain)
+        files = inside.select(F.concat(urls.scheme(F.col("url")), F.lit("://"), urls.host(F.col("url")), F.lit("/robots.txt")).alias("url")).distinct().join(asked, "url", "left_anti")
+        fetch(files, fetcher, polite).write.mode("overwrite").parquet(f"{path}/robots={n}")
+        robots = written("robots", n)
+        asked = robots.select("url")
+        todo = links.allowed(inside, robots_rules(robots).distinct(), agent).join(visited, "url", "left_anti").dropDuplicates(["url"])
         fetch(todo, fetcher, polite).write.mode("overwrite").parquet(f"{path}/round={n}")
         got = spark.read.schema(FETCH).parquet(f"{path}/round={n}").withColumn("action", action(F.col("status"), F.col("mime")))
-        visited = spark.read.parquet(*[f"{path}/round={k}" for k in range(n + 1)]).select("url").distinct()
-        found = got.where("action = 'store'").select("url", F.explode(html.links(F.col("html"))).alias("href")).unionByName(got.where("action = 'redirect'").select("url", F.col("location").alias("href")))
+        visited = written("round", n).select("url").distinct()
+        found = got.where("action = 'store'").select("url", F.explode(html.parsed(F.col("html"))["links"]).alias("href")).unionByName(got.where("action = 'redirect'").select("url", F.col("location").alias("href")))
         frontier = found.where(urls.crawlable(F.col("href"))).select(urls.absolute(F.col("href"), F.col("url")).alias("url")).distinct().join(visited, "url", "left_anti")
         if not frontier.limit(1).count():
             break
-    pages = spark.read.schema(FETCH).parquet(*[f"{path}/round={k}" for k in range(n + 1)])
+    pages = written("round", n)
     pages = pages.where(action(F.col("status"), F.col("mime")) == "store")
-    return pages.select("url", html.unescaped(html.raw_title(F.col("html"))).alias("title"), html.body_text(F.col("html")).alias("text"), "html", "visited_at")
+    return pages.select("url", F.coalesce(html.parsed(F.col("html"))["title"], F.lit("")).alias("title"), html.body_text(F.col("html")).alias("text"), "html", "visited_at")
 
 
 def write_log(pages: DataFrame, path: str) -> None:

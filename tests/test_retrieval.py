@@ -3,6 +3,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
+from lexigrove import __main__ as cli
 from lexigrove import queries
 from lexigrove.functions import html, urls
 from lexigrove.functions import text as X
@@ -116,10 +117,47 @@ def test_verbs():
     assert verbs.merge_verbs(pairs, {"abfährt"}.__contains__) == [("abfährt", "VVFIN"), ("heute", "ADV"), ("fährt", "VVFIN")]
 
 
+@pytest.mark.parametrize("buckets", [1, 3, 16, 64])
+def test_saved_index(spark, index, sf, tmp_path, buckets):
+    """A saved index gives the same hits however many buckets it has, and reads those of its tokens only."""
+    tables.save_index(index, str(tmp_path / "i"), buckets)
+    again = tables.load_index(spark, str(tmp_path / "i"))
+    for words in (["science"], ["science", "labor"], ["unknown"]):
+        assert scores(S.free_search(again, words)) == scores(S.free_search(index, words))
+    assert [r.doc_id for r in S.search(again, "NOT science", "boolean").collect()] == ["d3"]
+    assert [(r.doc_id, r.first_pos) for r in S.search(again, "science data", "phrase").collect()] == [("d2", 0), ("d1", 1)]
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    built = I.build_index(docs, path=str(tmp_path / "b"), buckets=buckets)
+    plain = I.build_index(docs)
+    for words in (["der", "und", "die"], ["the"], ["que", "la", "of"]):
+        assert scores(S.free_search(built, words)) == scores(S.free_search(plain, words)) != []
+    plan = S.free_search(built, ["der"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") == 3 and plan.count("PartitionFilters: [isnotnull(bucket") == 2
+
+
+def test_index_over_written_tables(index):
+    """The number of documents is that of documents with a posting."""
+    assert index.n.first()["n"] == 3 and sorted(r.doc_id for r in index.docs.collect()) == ["d1", "d2", "d3"]
+
+
+def test_phrase_order(spark, index):
+    docs = spark.createDataFrame([(k, "x " * 2 * (9 - k) + "yy zz") for k in range(8)] + [(9, "yy zz"), (8, "yy zz")], "doc_id int, text string").selectExpr("doc_id", "replace(text, 'x ', 'xx ') AS text")
+    got = [(r.first_pos, r.doc_id) for r in S.phrase_search(I.build_index(docs), ["yy", "zz"]).collect()]
+    assert got == sorted(got) and got[:2] == [(0, 8), (0, 9)] and len(got) == 10
+
+
+def test_terminal(spark, index, tmp_path, capsys):
+    tables.save_index(index, str(tmp_path))
+    cli.main([str(tmp_path), "science"], spark)
+    cli.main([str(tmp_path), "-b", "science AND NOT labor"], spark)
+    cli.main([str(tmp_path), "-p", "-k", "1", "science", "data"], spark)
+    cli.main([str(tmp_path), "unknown"], spark)
+    head = [S.FOUND, ""]
+    assert capsys.readouterr().out.splitlines() == [*head, "d2", "d1", *head, "d1", *head, "d2", S.NOTHING]
+
+
 def test_save_and_load(spark, index, tmp_path):
     tables.save_index(index, str(tmp_path))
-    again = tables.load_index(spark, str(tmp_path))
-    assert scores(S.free_search(again, ["science"])) == scores(S.free_search(index, ["science"]))
     export.index_json(I.positional_index(index.tokens), str(tmp_path / "json"))
     matrix = export.tfidf_matrix(index.postings, index.terms, index.postings.selectExpr("4L as n").limit(1), ["d1", "d2"])
     export.matrix_csv(matrix, I.lemma_words(index.tokens), str(tmp_path / "csv"))
@@ -142,6 +180,95 @@ def test_crawl(spark, tmp_path):
     crawl.write_log(pages, str(tmp_path / "log"))
 
 
+def test_crawl_markup(spark, tmp_path):
+    """Links of any case and quotes, titles with attributes, registered domains by suffix, robots asked once a host."""
+    asked = []
+    site = {
+        "http://www.a.co.uk/robots.txt": (404, "", "", ""),
+        "http://x.a.co.uk/robots.txt": (200, "text/plain", "User-agent: *\nDisallow: /no\nAllow: /no/yes\n", ""),
+        "http://www.a.co.uk/": (200, "text/html", "<TITLE lang=en>A &lt; B</TITLE><A HREF='/one'>1</A><a class=x href=/two>2</a><a href='http://x.a.co.uk/no/1'>n</a><a href='http://x.a.co.uk/no/yes'>y</a><a href='http://b.co.uk/'>b</a>", ""),
+        "http://www.a.co.uk/one": (200, "text/html", "<p class=bodytext>Eins", ""),
+        "http://www.a.co.uk/two": (200, "text/html", "<title>Two</title>", ""),
+        "http://x.a.co.uk/no/yes": (200, "text/html", "<title>Yes</title>", ""),
+    }
+
+    def fetcher(url):
+        with open(tmp_path / "asked", "a") as f:
+            f.write(url + "\n")
+        return site.get(url, (404, "", "", ""))
+
+    pages = crawl.crawl(spark, "www.a.co.uk/", ["a.co.uk"], str(tmp_path / "crawl"), fetcher, polite=0, suffixes=["uk", "co.uk"])
+    got = {r.url: r.title for r in pages.collect()}
+    asked = (tmp_path / "asked").read_text().split()
+    assert got == {"http://www.a.co.uk/": "A < B", "http://www.a.co.uk/one": "", "http://www.a.co.uk/two": "Two", "http://x.a.co.uk/no/yes": "Yes"}
+    assert len(asked) == len(set(asked)) == 6 and "http://b.co.uk/" not in asked
+
+
+def test_fetch_follows_nothing():
+    import http.server
+    import threading
+
+    class Handler(http.server.BaseHTTPRequestHandler):
+        def do_GET(self):
+            self.send_response(302 if self.path == "/r" else 404 if self.path == "/n" else 200)
+            self.send_header("Location", "/elsewhere")
+            self.send_header("Content-Type", "text/html; charset=iso-8859-1")
+            self.end_headers()
+            self.wfile.write("ü".encode("latin-1"))
+
+        def log_message(self, *args):
+            pass
+
+    server = http.server.HTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    at = f"http://127.0.0.1:{server.server_port}"
+    assert crawl.http_fetch(f"{at}/r") == (302, "text/html", "ü", "/elsewhere")
+    assert crawl.http_fetch(f"{at}/n")[0] == 404 and crawl.http_fetch(f"{at}/ä?q=ö")[:3] == (200, "text/html", "ü")
+    server.shutdown()
+    server.server_close()
+    assert crawl.http_fetch(f"{at}/", timeout=1)[0] == crawl.http_fetch("ftp://x/")[0] == crawl.http_fetch("nothing")[0] == 0
+
+
+def test_tagger(spark):
+    """Features are those of the sequence so far, and the chain merges, joins and drops by sentence."""
+    seen = []
+    tags = {"fährt": "VVFIN", "ab": "PTKVZ", "Oh": "ITJ", "Tür": "NN", "Griff": "NN"}
+
+    def classify(f):
+        seen.append(f)
+        return tags.get(f["word"], "ADV")
+
+    assert verbs.sequential(classify)(["Er", "fährt", "GmbH"]) == ["ADV", "VVFIN", "ADV"]
+    assert seen[2] == {"word": "GmbH", "lower": "gmbh", "suffix3": "mbh", "prefix1": "G", "prevword": "fährt", "prevprevword": "Er", "prevtag": "VVFIN", "prevprevtag": "ADV", "prevword+word": "fährt+GmbH", "prevtag+word": "VVFIN+GmbH", "prevprevtag+word": "ADV+GmbH", "shape": "upcase"}
+    assert seen[0]["prevtag+word"] == "None+Er"
+    config = A.Analyzer(tagger=verbs.sequential(lambda f: tags.get(f["word"], "ADV")), is_word={"abfährt", "Türgriff"}.__contains__, compounds=True)
+    docs = spark.createDataFrame([(1, "Zug fährt heute ab. Oh Tür Griff! ab"), (2, None)], "doc_id int, text string")
+    assert [r.word for r in A.analyze(docs, config).orderBy("pos").collect()] == ["Zug", "abfährt", "heute", "Türgriff", "ab"]
+    got = spark.createDataFrame([("gingen",), ("x",), (None,)], "w string").select(verbs.stemmed(F.col("w"), lambda w: ["ging", "gehen"] if w == "gingen" else []).alias("s")).collect()
+    assert [r.s for r in got] == ["gehen", "x", None]
+
+
+def test_json_blocks(spark, index, tmp_path):
+    posted = I.positional_index(index.tokens)
+    rows = I.nested(posted, per_row=1).collect()
+    whole = {}
+    for r in rows:
+        whole.setdefault((r.token, r.cf), {}).update({d: (v.norm_tf, list(v.positions)) for d, v in r.docs.items()})
+    assert whole["data", 4] == {"d1": (1.0, [0, 2]), "d2": (1.0, [1]), "d3": (1.0, [0])} and len(rows) > len(whole) == 3
+
+
+def test_stream_repeats(spark, tmp_path):
+    """A document that comes again counts once."""
+    source, schema = str(tmp_path / "in"), "doc_id string, text string"
+    for part in (DOCS[:2], DOCS[1:], DOCS[:1] * 2):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(source)
+    stream = ingest.ingest(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source), str(tmp_path / "index"), str(tmp_path / "cp"))
+    stream.processAllAvailable()
+    stream.stop()
+    got = ingest.ingested(spark, str(tmp_path / "index"))
+    assert got.n.first()["n"] == 3 and {r.token: (r.cf, r.df) for r in got.terms.collect()} == {"data": (4, 3), "science": (2, 2), "labor": (2, 2)}
+
+
 def test_stream(spark, tmp_path):
     source, schema = str(tmp_path / "in"), "doc_id string, text string"
     for part in (DOCS[:2], DOCS[2:]):
