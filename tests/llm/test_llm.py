@@ -516,6 +516,47 @@ def test_licenses_several(spark):
     assert [(x[1], x[3]) for x in licenses.notices(f"{common} {first} {common}")] == [("all-rights-reserved", 0)]
 
 
+def plain_best(text):
+    """(license, differing words) of the closest wording of any template over all spans of a short text, or None."""
+    own = licenses.wording(text)
+    best = None
+    for name, t in licenses.TEMPLATES.items():
+        words = licenses.wording(t)
+        lost, more = licenses._limits(len(words))
+        for a in range(len(own)):
+            for b in range(a + len(words) - lost, min(len(own), a + len(words) + more) + 1):
+                length = [0] * (b - a + 1)
+                for w in words:
+                    new = [0]
+                    for j, y in enumerate(own[a:b]):
+                        new.append(length[j] + 1 if w == y else max(length[j + 1], new[j]))
+                    length = new
+                if len(words) - length[-1] <= lost and b - a - length[-1] <= more:
+                    best = min(x for x in (best, (len(words) + b - a - 2 * length[-1], -len(words), name)) if x)
+    return best and (best[2], best[0])
+
+
+def test_licenses_by_hand():
+    """The closest notice of a block is that of a search of all templates and spans, ties included."""
+    rng = np.random.default_rng(8)
+    names = list(licenses.TEMPLATES)
+    seen = Counter()
+    for k in range(36):
+        words = licenses.TEMPLATES[names[k % len(names)]].split()
+        for _ in range(k % 4):
+            at = int(rng.integers(0, len(words)))
+            words = [*words[:at], *rng.choice(["the", "license", "x", "3"], 1), *words[at + k % 2 :]]
+        text = " ".join(["some", "license", *words, "of", "it"])
+        found = licenses.notices(text)
+        want = plain_best(text)
+        if want is None:
+            assert not found
+        else:  # several templates of one length may differ alike; the larger saving decides
+            assert min(x[3] for x in found) == want[1]
+        seen[want is None] += 1
+    assert seen[False] > 25
+
+
 def test_licenses_far_from_first_cue(spark):
     """A notice is found at any distance from an earlier cue."""
     assert licenses.WINDOW >= max(len(w) + licenses._limits(len(w))[1] for _, w in licenses._packers().values())
