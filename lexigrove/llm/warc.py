@@ -27,7 +27,7 @@ import gzip
 import hashlib
 import json
 import zlib
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from urllib.parse import quote, urlsplit
 
@@ -271,7 +271,7 @@ class CaptureIndex:
         self.files = sorted((_order(key, page_id), file, offset, length) for key, page_id, file, offset, length in files)
         self.heads = [f[0] for f in self.files]
         self.open: tuple[int, list, list] = (-1, [], [])
-        self.held: tuple[tuple, list[dict]] = ((), [])
+        self.held: tuple[tuple, tuple[list[dict], list]] = ((), ([], []))
         self.reads = 0
 
     def _blocks(self, k: int) -> tuple[list, list]:
@@ -280,9 +280,10 @@ class CaptureIndex:
             self.open = (k, blocks, [_order(b[0], b[1]) for b in blocks])
         return self.open[1:]
 
-    def _lines(self, k: int, b: int) -> list[dict]:
+    def _lines(self, k: int, b: int) -> tuple[list[dict], list]:
         if self.held[0] != (k, b):
-            self.held = ((k, b), read_block(self.files[k][1], *self._blocks(k)[0][b][2:]))
+            lines = read_block(self.files[k][1], *self._blocks(k)[0][b][2:])
+            self.held = ((k, b), (lines, [_order(c["url_key"], c["page_id"]) for c in lines]))
             self.reads += 1
         return self.held[1]
 
@@ -293,7 +294,8 @@ class CaptureIndex:
             heads = self._blocks(k)[1]
             b = max(0, bisect_left(heads, low) - 1)
             while b < len(heads) and heads[b] <= high:
-                yield from (c for c in self._lines(k, b) if low <= _order(c["url_key"], c["page_id"]) <= high)
+                lines, orders = self._lines(k, b)
+                yield from lines[bisect_left(orders, low) : bisect_right(orders, high)]
                 b += 1
             k += 1
 
