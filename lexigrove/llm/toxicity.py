@@ -130,20 +130,24 @@ def scores(model: Model, tables: list[list[np.ndarray]], row: np.ndarray, slots:
     return 1 / (1 + np.exp(-np.clip(pooled @ model.weight + model.offset, -30, 30)))
 
 
-def vocabulary(texts: Iterable[np.ndarray]) -> np.ndarray:
-    """The words of LEAST_DOCS texts or more, rarest first. Texts are counted a few at a time."""
-    known, count, held, size = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64), [], 0
-    for t in chain(texts, [None]):
+def vocabulary(texts: Iterable[np.ndarray], labels: np.ndarray) -> np.ndarray:
+    """The words of LEAST_DOCS texts or more, those last whose texts' labels are the least like those of all texts. Texts are counted a few at a time."""
+    known, count, hits, held, of, size = np.zeros(0, dtype=np.uint64), np.zeros(0), np.zeros(0), [], [], 0
+    for t, label in chain(zip(texts, labels), [(None, 0)]):
         if t is not None:
             held.append(np.unique(t))
+            of.append(np.full(len(held[-1]), label, dtype=np.float64))
             size += len(held[-1])
         if held and (t is None or size >= 1 << 18):
-            more, n = np.unique(np.concatenate(held), return_counts=True)
+            more, place = np.unique(np.concatenate(held), return_inverse=True)
+            n, y = np.bincount(place, minlength=len(more)), np.bincount(place, np.concatenate(of), len(more))
             known, place = np.unique(np.concatenate([known, more]), return_inverse=True)
-            count = np.bincount(place, np.concatenate([count, n]), len(known)).astype(np.int64)
-            held, size = [], 0
-    known, count = known[count >= LEAST_DOCS], count[count >= LEAST_DOCS]
-    return known[np.argsort(count, kind="stable")]
+            count, hits = (np.bincount(place, np.concatenate(x), len(known)) for x in ((count, n), (hits, y)))
+            held, of, size = [], [], 0
+    some = count >= LEAST_DOCS
+    known, count, hits = known[some], count[some], hits[some]
+    share = labels.mean()
+    return known[np.argsort(np.abs(hits - count * share) / np.sqrt(count), kind="stable")]
 
 
 def train(texts: Callable[[], Iterable[np.ndarray]], labels: np.ndarray, languages: list[str | None], seed: int = 11) -> Model:
@@ -160,7 +164,7 @@ def train(texts: Callable[[], Iterable[np.ndarray]], labels: np.ndarray, languag
         model.weight[:] = 0
         model.offset = float(np.log(share / (1 - share)))
         return model
-    for word in vocabulary(texts()):  # the commonest claims a slot last
+    for word in vocabulary(texts(), labels):  # the most telling one claims a slot last
         owner[int(word) & (SLOTS - 1)] = word
     slots_of = [model.slots(t).astype(np.uint16) for t in texts()]
     order = rng.permutation(n)
