@@ -135,8 +135,8 @@ def write_archives(pages: DataFrame, path: str, least_bytes: int = LEAST_REVISIT
     html = F.coalesce("html", F.lit("")).cast("binary")
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce("url", F.lit("")).alias("url"), html.alias("html"), F.sha1(html).alias("sha1"), F.octet_length(html).alias("payload_bytes"))
     of = decisions(pages, least_bytes).withColumn("at", id_of(F.col("own_id"))).drop("own_id").withColumnRenamed("own_sha1", "sha1")
-    # rows of one page_id and payload meet in one task, which numbers them
-    rows = pages.withColumn("at", id_of(F.col("page_id"))).join(of.hint("merge"), ["at", "sha1"], "left")
+    # rows of one page_id and payload meet in one task, which numbers them: adaptive execution does not split a shuffle that is asked for
+    rows = pages.withColumn("at", id_of(F.col("page_id"))).repartition("at", "sha1").join(of.hint("merge"), ["at", "sha1"], "left")
     rows = rows.select("page_id", "url", "html", "refers_to", F.coalesce("revisit", F.lit(False)).alias("revisit")).sortWithinPartitions("page_id", "html", "url")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -643,6 +643,21 @@ def test_warc_names(spark):
     assert all(warc._name(r["refers_to"], r["payload_digest"]) in names for r in found if r["record_type"] == "revisit")
 
 
+def test_warc_names_split(spark):
+    """Names stay apart if one page_id and payload fill a task that adaptive execution would split."""
+    conf = {"spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1000", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    rows = [(1, f"http://a.org/{i}", f"same{'x' * 900}") for i in range(60)] + [(i, f"http://b.org/{i}", f"p{i // 2}") for i in range(2, 20)]
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        captures = warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(6), new_path(spark, "w")).collect()
+    finally:
+        for k in conf:
+            spark.conf.unset(k)
+    found = list(warc.read_records([c.asDict() for c in captures]))
+    assert len({r["record_id"] for r in found}) == len(found) == 78
+
+
 def test_warc_odd(spark):
     rows = [(3, "http://b.a.org/x", "same"), (1, "http://a.org/", "same"), (2, None, None), (5, "http://a.org/", ""), (7, "http://[bad", "ü" * 9), (None, "http://a.org/é ?q", "z"), (1, "http://a.org/", "same")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
