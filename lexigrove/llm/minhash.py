@@ -13,15 +13,17 @@ shingle sets: two texts are linked if their probability Jaccard, or the plain
 Jaccard of their shingle sets, is LEAST or more.
 
 Classes are the connected components of links. Equal texts are one vertex. In
-a bucket, all members are first verified against one of them; then members
-of a bucket that lie in different components are compared too: those whose registers of
-either weighting agree enough are found first, without their shingles, in the bucket or, if it has more than
-WIDE members outside its largest component, in the narrower buckets of two bands; those alone are then compared on
-their shingle sets. Both steps are dealt into blocks of bounded size, and members of a bucket's largest
+a bucket, all members are first verified against one of them; then every link between members
+of a bucket that lie in different components is looked for, whatever the bucket's size. A pair of LEAST has
+at least that share of either text's weight in common, so if each text's shingles are put in one order, the first ones, as
+many as leave less than that share, have one in common. Members are dealt by these first shingles, rare ones being first, and
+those that share none with another component have no link to it. The others are compared on their whole
+shingle sets, by bucket or, if it has more than WIDE of them outside its largest component, by each first shingle in it,
+which finds the same links. Comparisons are dealt into blocks of bounded size, and members of the largest
 component are not compared with each other. A group of blocks
 returns only the links that join its parts, so links between texts of one class need not be listed,
-and no bucket is cut short or compared in one task. A pair of similarity 0.8 shares no band with
-probability 5e-5 and no two bands with 6e-4.
+and no bucket is cut short or compared in one task. Only a pair that shares no band is never compared: of
+similarity 0.8, with probability 5e-5.
 
 Defined cases: a null text is an empty text; a text of fewer than five words is
 one shingle; texts without words share a class with equal texts only; rows that
@@ -49,13 +51,16 @@ ROWS = 5
 K = BANDS * ROWS
 #: An empty register: an infinite time.
 NEVER = np.uint64(0x7F800000FFFFFFFF)
-#: Pairs of which both estimates are below this are not verified when members of different components are paired: over four standard errors under LEAST.
+#: Over four standard errors of the registers' estimate under LEAST. It tells what registers are good for; no pair is dropped by it.
 FLOOR = 0.65
 BLOCK = 256
-#: Members outside the largest component from which a bucket is searched by two bands.
+#: Members to be compared outside the largest component above which a bucket is dealt by first shingles; the links are the same.
 WIDE = 8 * BLOCK
-#: Pairs whose registers are compared at once.
-PAIRS = 1 << 14
+#: Texts on which the order of shingles is fitted, and frequent shingles that it knows. Any order finds all links.
+ORDER_TEXTS = 1 << 12
+ORDER_SHINGLES = 1 << 17
+#: Shingles that are compared at once.
+COLUMNS = 1 << 12
 #: Written tables have a file for so many documents or edges at most, so that small tables are not split into very many files.
 FILE_DOCS = 1 << 12
 FILE_EDGES = 1 << 17
@@ -306,62 +311,107 @@ def _dealt(members: DataFrame, by: str, packs: int) -> DataFrame:
     return rows.withColumns({"pack": pack, "x": F.col("place.x"), "y": F.col("place.y")}).drop("place", "block", "top", "small", "majors", "minors")
 
 
-def _near_pairs(table: pa.Table, by: str, first_band: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of rows of different components with the same ``by`` that agree enough, of rows sorted by it and others before those of the largest component; with ``first_band`` a pair that agrees in several bands only in the bucket of the first of them."""
-    data = table.column("kept").to_pylist()
-    kept, plain = (np.frombuffer(b"".join(x), dtype=np.uint32).reshape(len(data), BANDS, ROWS) for x in ([x[: 4 * K] for x in data], [x[-4 * K :] for x in data]))
-    repeats = np.array([len(x) > 4 * K for x in data])
-    numbers: dict = {}
-    component = np.array([numbers.setdefault(c, len(numbers)) for c in table.column("component").to_pylist()])
-    value = table.column(by).to_numpy()
-    start = np.flatnonzero(np.append(True, value[1:] != value[:-1]))
-    group = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(value))))
-    bucket = table.column("bucket").to_numpy()[start][:, None]
-    band = np.argmax((band_keys(kept[start].reshape(-1, K)) == bucket) | (band_keys(plain[start].reshape(-1, K)) == bucket), axis=1)
-    left = np.flatnonzero(table.column("minor").to_numpy(zero_copy_only=False))
-    many = np.append(start[1:], len(value))[group[left]] - left - 1
-    done = np.cumsum(many)
+def _frequent(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that several texts of a sample have, ascending, and of how many."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for data in batch.column("shingles").to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(data, dtype=np.int64))], ["shingle"])
+
+    share = max(1, sets.count() // ORDER_TEXTS)
+    some = sets.where(F.pmod(F.xxhash64("key", F.lit(1)), F.lit(share)) == 0).select("shingles").mapInArrow(each, "shingle long")
+    top = some.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1").orderBy(F.desc("n"), "shingle").limit(ORDER_SHINGLES).toArrow()
+    shingle, n = top.column("shingle").to_numpy().view(np.uint64), top.column("n").to_numpy()
+    order = np.argsort(shingle)
+    return shingle[order], n[order]
+
+
+def first_shingles(shingle: np.ndarray, count: np.ndarray, frequent: tuple[np.ndarray, np.ndarray], least: float) -> np.ndarray:
+    """The first of a text's shingles, ascending and each once, in the order of how frequent they are: as many as leave less than ``least`` of the set and of its weight."""
+    known, often = frequent
+    n = np.zeros(len(shingle), dtype=np.int64)
+    if len(known):
+        at = np.minimum(np.searchsorted(known, shingle), len(known) - 1)
+        n = np.where(known[at] == shingle, often[at], 0)
+    order = np.lexsort((shingle, n))
+    weight = weights(count[order])
+    left = np.maximum(1 - np.arange(1, len(shingle) + 1) / len(shingle), 1 - np.cumsum(weight) / weight.sum())
+    return shingle[order[: int((left >= least - 1e-9).sum()) + 1]]
+
+
+def _firsts(sets: DataFrame, least: float) -> DataFrame:
+    """(key, first) of the first shingles of each text."""
+    frequent = _frequent(sets)
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for data, counts in zip(batch.column("shingles").to_pylist(), batch.column("counts").to_pylist(), strict=True):
+                shingle = np.frombuffer(data, dtype=np.uint64)
+                out.append(first_shingles(shingle, _counts(counts, len(shingle)), frequent, least).view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(out, pa.list_(pa.int64()))], ["key", "firsts"])
+
+    return sets.mapInArrow(make, "key binary, firsts array<long>").select("key", F.explode("firsts").alias("first"))
+
+
+def _mixed(rows: DataFrame, by: str) -> DataFrame:
+    """Those ``by`` that have rows of several components; of these two fixed hashes are compared, as numbers are aggregated by hash."""
+    hashes = [F.xxhash64("component"), F.xxhash64("component", F.lit(1))]
+    several = rows.groupBy(by).agg(*(f(h).alias(f"{name}{k}") for k, h in enumerate(hashes) for name, f in (("low", F.min), ("high", F.max))))
+    return several.where("low0 != high0 OR low1 != high1").select(by)
+
+
+def may_link(shingles: list[np.ndarray], counts: list[np.ndarray], least: float) -> np.ndarray:
+    """(rows, rows) which pairs may be of similarity ``least``: by the Jaccard of the sets, and where a row repeats a shingle by an upper bound of the other, the weight of what is common as a share of either text's."""
+    rows, size = len(shingles), np.array([len(x) for x in shingles])
+    repeats = np.array([bool((c > 1).any()) for c in counts])
+    row = np.repeat(np.arange(rows), size)
+    _, column, often = np.unique(np.concatenate(shingles), return_inverse=True, return_counts=True)
+    share = np.concatenate([weights(c) / weights(c).sum() for c in counts])
+    own = np.flatnonzero(often[column] > 1)
+    own = own[np.argsort(column[own], kind="stable")]
+    row, column, share = row[own], (np.cumsum(often > 1) - 1)[column[own]], share[own]
+    common, mass = np.zeros((rows, rows)), np.zeros((rows, rows))
     a = 0
-    while a < len(left):
-        b = max(a + 1, int(np.searchsorted(done, (done[a - 1] if a else 0) + PAIRS, side="right")))
-        p, q = np.repeat(left[a:b], many[a:b]), _text.repeated(left[a:b] + 1, many[a:b])
-        own = component[p] != component[q]
-        p, q = p[own], q[own]
-        near, shared = agreement(kept, plain, repeats, p, q)
-        good = near >= FLOOR
-        if first_band:
-            good &= shared.argmax(axis=1) == band[group[p]]
-        yield p[good], q[good]
+    while a < len(column):
+        first = column[a]
+        b = int(np.searchsorted(column, first + COLUMNS))
+        width = int(column[b - 1] - first) + 1
+        one = np.zeros((rows, width), dtype=np.float32)
+        one[row[a:b], column[a:b] - first] = 1
+        common += one @ one.T
+        if repeats.any():
+            part = np.zeros_like(one)
+            part[row[a:b], column[a:b] - first] = share[a:b]
+            mass += part @ one.T
         a = b
+    near = common >= (least - 1e-6) * (size[:, None] + size - common)
+    return near | (np.minimum(mass, mass.T) >= least - 1e-3) & (repeats[:, None] | repeats)
 
 
-def _residual(members: DataFrame, texts: DataFrame, sets: DataFrame, least: float, packs: int) -> DataFrame:
+def _residual(members: DataFrame, sets: DataFrame, least: float, packs: int) -> DataFrame:
     """Links (a, b) between components, of texts in one bucket, as many as join what they join.
 
-    First the members that agree enough with one of another component are found by their
-    registers; then those alone are compared on their shingle sets. Members of a bucket with more than
-    WIDE outside its largest component are found in the narrower buckets of two bands.
+    Members that share a first shingle with one of another component are found, and only they
+    are compared: by bucket or, of a bucket with more than WIDE of them outside its largest component, by bucket and first shingle.
     """
-    wide = members.groupBy("bucket", "component").agg(F.count("*").alias("n")).groupBy("bucket").agg((F.sum("n") - F.max("n")).alias("others")).where(F.col("others") > WIDE).select("bucket", F.lit(True).alias("wide"))
-    rows = members.join(wide, "bucket", "left").join(texts.select("key", "kept", "bands"), "key")
-    twice = F.transform(F.array_remove("bands", F.col("bucket")), lambda x: F.xxhash64(F.col("bucket"), x))
-    rows = rows.withColumn("near", F.explode(F.when(F.col("wide"), twice).otherwise(F.array("bucket")))).drop("bands", "wide")
-
-    def find(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("near", "ascending"), ("minor", "descending")]).combine_chunks()
-        found = np.zeros(table.num_rows, dtype=bool)
-        narrow = table.num_rows and table.column("near")[0].as_py() != table.column("bucket")[0].as_py()
-        for p, q in _near_pairs(table, "near", not narrow):
-            found[p] = found[q] = True
-        return table.select(["bucket", "key"]).filter(pa.array(found))
-
-    found = _dealt(rows, "near", packs).withColumn("pack", F.when(F.col("near") == F.col("bucket"), F.col("pack")).otherwise(F.col("near")))
-    found = found.select("near", "bucket", "key", "component", "kept", "minor", "pack", "x", "y").groupBy("pack", "x", "y").applyInArrow(find, "bucket long, key binary")
-    found = keep(found.distinct().coalesce(max(1, packs // 2)), "found")
+    rows = members.join(_mixed(members, "bucket"), "bucket", "left_semi")
+    texts = rows.select("key", "component").distinct()
+    concerned = keep(sets.join(texts, "key", "left_semi"), "concerned")
+    firsts = keep(_firsts(concerned, least).join(texts, "key"), "firsts")
+    firsts = firsts.join(_mixed(firsts, "first"), "first", "left_semi").select("key", "first")
+    found = rows.join(firsts, "key").select("bucket", "key", "component", F.xxhash64("bucket", "first").alias("near"))
+    found = keep(found.join(_mixed(found, "near"), "near", "left_semi").coalesce(max(1, packs // 2)), "found")
+
+    wide = found.select("bucket", "key", "component").distinct().groupBy("bucket", "component").agg(F.count("*").alias("n"))
+    wide = wide.groupBy("bucket").agg((F.sum("n") - F.max("n")).alias("others")).where(F.col("others") > WIDE).select("bucket", F.lit(True).alias("wide"))
+    dealt = found.join(wide, "bucket", "left").select(F.when(F.col("wide"), F.col("near")).otherwise(F.col("bucket")).alias("by"), "key", "component").distinct()
 
     def compare(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("bucket", "ascending"), ("minor", "descending")]).combine_chunks()
+        table = table.sort_by([("by", "ascending"), ("minor", "descending")]).combine_chunks()
         data, counts, names = (table.column(n).to_pylist() for n in ("shingles", "counts", "component"))
+        value, minor = table.column("by").to_numpy(), table.column("minor").to_numpy(zero_copy_only=False)
         up: dict = {}
 
         def root(x: bytes) -> bytes:
@@ -371,20 +421,22 @@ def _residual(members: DataFrame, texts: DataFrame, sets: DataFrame, least: floa
             return x
 
         a, b = [], []
-        for left, right in _near_pairs(table, "bucket", True):
-            for p, q in zip(left.tolist(), right.tolist(), strict=True):
-                x, y = root(names[p]), root(names[q])
-                if x == y:
-                    continue
-                one, two = np.frombuffer(data[p], dtype=np.uint64), np.frombuffer(data[q], dtype=np.uint64)
-                if similarity(one, _counts(counts[p], len(one)), two, _counts(counts[q], len(two))) >= least:
+        start = np.flatnonzero(np.append(True, value[1:] != value[:-1]))
+        for i, j in zip(start.tolist(), [*start[1:].tolist(), len(value)], strict=True):
+            if len({root(x) for x in names[i:j]}) == 1:
+                continue
+            shingles = [np.frombuffer(x, dtype=np.uint64) for x in data[i:j]]
+            often = [_counts(x, len(y)) for x, y in zip(counts[i:j], shingles, strict=True)]
+            near = np.triu(may_link(shingles, often, least), 1) & minor[i:j, None]
+            for p, q in np.argwhere(near).tolist():
+                x, y = root(names[i + p]), root(names[i + q])
+                if x != y and similarity(shingles[p], often[p], shingles[q], often[q]) >= least:
                     up[x] = y
-                    a.append(max(names[p], names[q]))
-                    b.append(min(names[p], names[q]))
+                    a.append(max(names[i + p], names[i + q]))
+                    b.append(min(names[i + p], names[i + q]))
         return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
 
-    few = members.join(found, ["bucket", "key"]).join(texts.select("key", "kept"), "key").join(sets, "key")
-    few = _dealt(few, "bucket", packs).select("bucket", "component", "kept", "shingles", "counts", "minor", "pack", "x", "y")
+    few = _dealt(dealt, "by", packs).join(concerned, "key").select("by", "component", "shingles", "counts", "minor", "pack", "x", "y")
     return few.groupBy("pack", "x", "y").applyInArrow(compare, "a binary, b binary").distinct()
 
 
@@ -406,7 +458,7 @@ def near_duplicates(docs: DataFrame, least: float = LEAST, carried: Sequence[str
     sets = keep(_shingled(docs, texts.join(wanted, "key", "left_semi").select("doc_id", "key")).coalesce(files), "sets")
     first = components(_verified(pairs, sets, least), files)
     known = members.join(first, "key", "left").select("bucket", "key", F.coalesce("component", "key").alias("component"))
-    joined = components(_residual(known, texts, sets, least, max(1, rows // PACK_DOCS)), files)
+    joined = components(_residual(known, sets, least, max(1, rows // PACK_DOCS)), files)
 
     classes = texts.select("key", "doc_id", "copies").join(first, "key", "left").withColumn("component", F.coalesce("component", "key"))
     classes = classes.join(joined.select(F.col("key").alias("component"), F.col("component").alias("whole")), "component", "left").withColumn("class_key", F.coalesce("whole", "component"))

@@ -170,6 +170,39 @@ def test_near_duplicates_wide_bucket(spark, monkeypatch, wide):
     assert {r.doc_id: r.class_id for r in got.collect()} == want and len(set(want.values())) == 40
 
 
+def one_band(pair, tail, starts, filler):
+    """Two texts whose sets are alike by 0.8 or more and that share one bucket only, and a third that all texts of that bucket are first compared with and that is unlike both."""
+    words = [f"c{pair}_{k}" for k in range(84)]
+    ends = [[f"{x}{pair}_{k}" for k in range(tail)] for x in "ab"]
+    runs = [" ".join((words + ends[0])[k : k + 5]) for k in starts]
+    return {0: " ".join(words + ends[0]), 1: " ".join(words + ends[1]), 2: f" d{filler} ".join(runs)}
+
+
+@pytest.mark.parametrize("wide", [0, 1, 1 << 20])
+def test_near_duplicates_size_of_bucket(spark, monkeypatch, wide):
+    """A link whose texts share a single band is found however many members a bucket may have before it is searched in parts."""
+    monkeypatch.setattr(minhash, "WIDE", wide)
+    texts = one_band(9638, 9, [0, 35, 48, 58, 60], 26)
+    got = minhash.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string"))
+    assert {r.doc_id: r.class_id for r in got.collect()} == brute_classes(texts) == {0: 0, 1: 0, 2: 2}
+
+
+def test_first_shingles():
+    """Alike texts have a first shingle in common, and pairs ruled out are unlike, in any order of shingles."""
+    rng = np.random.default_rng(3)
+    base = np.unique(_text.mix(np.arange(60, dtype=np.uint64)))
+    shingles, counts = [], []
+    for i in range(60):
+        shingles.append(np.unique(np.append(rng.choice(base, 48 + i % 12, replace=False), _text.mix(np.arange(1000 * i, 1000 * i + i % 7, dtype=np.uint64)))))
+        counts.append(np.where(rng.random(len(shingles[-1])) < 0.1 * (i % 3), rng.integers(2, 900, len(shingles[-1])), 1).astype(np.uint32))
+    near = minhash.may_link(shingles, counts, 0.8)
+    linked = np.array([[minhash.similarity(a, x, b, y) >= 0.8 for b, y in zip(shingles, counts, strict=True)] for a, x in zip(shingles, counts, strict=True)])
+    assert not (linked & ~near).any() and 60 < linked.sum() <= near.sum() < 3600
+    for frequent in ((base[:0], np.zeros(0, dtype=np.int64)), (base, rng.integers(2, 9, len(base)))):
+        first = [set(minhash.first_shingles(x, c, frequent, 0.8).tolist()) for x, c in zip(shingles, counts, strict=True)]
+        assert all(first[i] & first[k] for i, k in np.argwhere(linked)) and max(map(len, first)) < 48
+
+
 def test_hashes():
     """Spans that a polynomial modulo 2^64 cannot tell apart have different hashes, wherever they stand."""
     bits = [bin(k).count("1") % 2 for k in range(2048)]
