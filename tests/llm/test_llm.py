@@ -505,6 +505,17 @@ def test_packing_near_copies(spark, odd, tmp_path):
     assert Counter(r.doc_id for r in rows) == Counter(r.doc_id for r in odd.collect()) and len({r.cluster for r in rows if r.doc_id in (3, 8)}) == 2
 
 
+@pytest.mark.parametrize("heavy", [1, 1000])
+def test_packing_size_of_bucket(spark, monkeypatch, tmp_path, heavy):
+    """Near copies that share a single band are one cluster and so in two bins, however many members a bucket or copies a text may have before they are joined in another way."""
+    monkeypatch.setattr(minhash, "WIDE", 0)
+    monkeypatch.setattr(minhash, "HEAVY", heavy)
+    texts = one_band(9638, 9, [0, 35, 48, 58, 60], 26)
+    spark.createDataFrame([(i, t, None) for i, t in texts.items()], "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    bins = {r.doc_id: r.bin for r in queries.op6_packing(spark, str(tmp_path)).collect()}
+    assert sorted(bins) == [0, 1, 2] and bins[0] != bins[1]
+
+
 def test_best_fit():
     got = packing.pack([6, 5, 4, 3], ["a", "b", "c", "c"], [None] * 4, 10)
     assert [(r, b) for r, _, _, b, _ in got] == [(0, 0), (1, 1), (2, 0), (3, 1)]
