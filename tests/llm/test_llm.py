@@ -836,6 +836,18 @@ def test_pipeline_stages(spark, sf, odd, none):
         assert got.count() > 0 and stage(spark, none, sf).count() == 0
 
 
+def test_pipeline_drops_every_near_copy(spark, sf):
+    """A near copy goes though its registers agree in less than FLOOR and the first text of its bucket is unlike it."""
+    texts = one_band(60116, 10, [4, 12, 18, 20, 26], 0)
+    rows = [pa.array([texts[0]]), pa.array([texts[1]])]
+    (row, a, n), (_, b, m) = (minhash.weighted(*_text.buffers(x)) for x in rows)
+    kept = [minhash.registers(np.zeros(len(x), dtype=np.int64), x, minhash.weights(c), 1) for x, c in ((a, n), (b, m))]
+    assert (kept[0] == kept[1]).mean() < minhash.FLOOR and minhash.similarity(a, n, b, m) >= 0.8
+    stage = dict(corpus_pipeline.STAGES)["near_duplicates"]
+    got = stage(spark, spark.createDataFrame(rows_of(texts.items()), SCHEMA), sf)
+    assert sorted(r.doc_id for r in got.collect()) == [0, 2]
+
+
 def plain_targets(sizes):
     """Words to take of each source: the excess of those that are above twice their size is shared again."""
     order = sorted(sizes, key=lambda s: (s is None, s))
