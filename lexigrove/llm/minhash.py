@@ -155,6 +155,8 @@ def similarity(a: np.ndarray, a_count: np.ndarray, b: np.ndarray, b_count: np.nd
     plain = len(common) / (len(a) + len(b) - len(common))
     if a_count.max() == 1 and b_count.max() == 1:
         return plain
+    if (len(a), a.tobytes(), a_count.tobytes()) > (len(b), b.tobytes(), b_count.tobytes()):  # one order of sums, so that rounding does not tell which text is first
+        a, a_count, b, b_count = b, b_count, a, a_count
     a_count, b_count = weights(a_count), weights(b_count)
     # sum over the common d of 1 / sum over all e of max(a_e / a_d, b_e / b_d), by the order of a_e / b_e
     every = np.union1d(a, b)

@@ -100,7 +100,7 @@ def packed(docs: DataFrame, *, capacity: int = CAPACITY, group: int = GROUP, siz
     size = n_words(F.col("text")) if size is None else size
     cluster = F.md5(F.coalesce("text", F.lit("")).cast("binary")) if cluster is None else cluster
     light = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), cluster.alias("cluster"), size.cast("long").alias("size"))
-    rows, n = numbered(light, ["doc_id", "cluster", "source"])
+    rows, n = numbered(light, ["doc_id", "cluster", "source", "size"])  # near copies of one doc_id and source differ in size; what is equal in all is interchangeable
     rows = rows.withColumn("group", F.floor(permuted(F.col("number"), n) / group).cast("long"))
 
     def each(table: pa.Table) -> pa.Table:

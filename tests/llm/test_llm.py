@@ -242,6 +242,15 @@ def test_similarity():
     assert minhash.similarity(a, np.array([5, 1, 2]), b, np.array([2, 2, 1])) == pytest.approx(max(plain, 0.5))
 
 
+def test_similarity_either_way():
+    """A pair's similarity, and so a link at the threshold, does not depend on which text of a bucket comes first."""
+    rng = np.random.default_rng(11)
+    for _ in range(300):
+        a, b = (np.unique(rng.integers(0, 80, 60).astype(np.uint64)) for _ in range(2))
+        x, y = (rng.integers(1, 9, len(k)).astype(np.uint32) for k in (a, b))
+        assert minhash.similarity(a, x, b, y) == minhash.similarity(b, y, a, x)
+
+
 def test_near_duplicates_odd(odd, none):
     got = minhash.near_duplicates(odd).collect()
     classes = defaultdict(set)
@@ -516,6 +525,19 @@ def test_packing_size_of_bucket(spark, monkeypatch, tmp_path, heavy):
     assert sorted(bins) == [0, 1, 2] and bins[0] != bins[1]
 
 
+def test_packing_ties(spark, monkeypatch):
+    """Near copies of one doc_id and source have the same bins however many copies a text may have before it is joined in another way, and however rows are split."""
+    words = " ".join(f"w{k}" for k in range(200))
+    rows = [(1, words + "".join(f" x{i}_{k}" for k in range(i)), "s") for i in range(20) for _ in range(1 + i % 2)]
+    got = []
+    for heavy, files in ((1, 1), (1000, 1), (2, 3), (1000, 4)):
+        monkeypatch.setattr(minhash, "HEAVY", heavy)
+        docs = spark.createDataFrame(rows[::-1] if files > 1 else rows, "doc_id long, text string, source string").repartition(files)
+        found = packing.packed(packing.clustered(docs), group=6, size=F.col("size"), cluster=F.col("cluster"))
+        got.append(sorted((r.n_words, r.bin, r.place) for r in found.collect()))
+    assert len(got[0]) == 30 and got[0] == got[1] == got[2] == got[3]
+
+
 def test_best_fit():
     got = packing.pack([6, 5, 4, 3], ["a", "b", "c", "c"], [None] * 4, 10)
     assert [(r, b) for r, _, _, b, _ in got] == [(0, 0), (1, 1), (2, 0), (3, 1)]
