@@ -17,7 +17,7 @@ a bucket, all members are first verified against one of them; then every link be
 of a bucket that lie in different components is looked for, whatever the bucket's size. A pair of LEAST has
 at least that share of either text's weight in common, so if each text's shingles are put in one order, the first ones, as
 many as leave less than that share, have one in common. Members are dealt by these first shingles, rare ones being first, and
-those that share none with another component have no link to it. The others are compared on their whole
+those that share none with another component have no link to it. The others, and all members of a bucket of BLOCK or fewer, are compared on their whole
 shingle sets, by bucket or, if it has more than WIDE of them outside its largest component, by each first shingle in it,
 which finds the same links. Comparisons are dealt into blocks of bounded size, and members of the largest
 component are not compared with each other. A group of blocks
@@ -66,6 +66,8 @@ FILE_DOCS = 1 << 12
 FILE_EDGES = 1 << 17
 #: Small buckets of about so many documents are compared in one task's group.
 PACK_DOCS = 1 << 11
+#: Bits of a hash by which rows that cannot have a partner are left out before a join. Any number gives the same rows.
+MARK_BITS = 24
 #: A text with this many copies or more, or this share of all rows, is joined by broadcast; there are at most 1 / HEAVY_SHARE such texts.
 HEAVY_SHARE = 1e-4
 HEAVY = 1000
@@ -174,8 +176,8 @@ def similarity(a: np.ndarray, a_count: np.ndarray, b: np.ndarray, b_count: np.nd
 
 
 def _signed(docs: DataFrame, carried: list[str]) -> DataFrame:
-    """(doc_id, key, n_words, kept, bands) and the carried columns in a struct: registers as bytes, by weight and then, if they may differ, by unit weights; null for texts without words."""
-    schema = {"kept": pa.binary(), "bands": pa.list_(pa.int64()), "n_words": pa.int64()}
+    """(doc_id, key, n_words, bands) and the carried columns in a struct: the buckets of both weightings, null for texts without words."""
+    schema = {"bands": pa.list_(pa.int64()), "n_words": pa.int64()}
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -191,19 +193,28 @@ def _signed(docs: DataFrame, carried: list[str]) -> DataFrame:
                 for i, x in zip(more.tolist(), band_keys(plain[more]), strict=True):
                     bands[i] = np.union1d(bands[i], x)
                 made = [
-                    [(x.tobytes() + y.tobytes() if r else x.tobytes()) if s else None for x, y, r, s in zip(kept, plain, repeats, some, strict=True)],
                     [x if s else None for x, s in zip(bands, some, strict=True)],
                     np.bincount(words[2], minlength=rows),
                 ]
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("doc_id", "key", "carried")), *(pa.array(x, t) for x, t in zip(made, schema.values(), strict=True))], ["doc_id", "key", "carried", *schema])
 
     rows = docs.select(id_of(F.col("doc_id")).alias("doc_id"), text_key(F.col("text")).alias("key"), F.struct(F.lit(0).cast("byte").alias("_"), *carried).alias("carried"), F.coalesce("text", F.lit("")).alias("text"))
-    to = rows.select("doc_id", "key", "carried").schema.add("kept", "binary").add("bands", T.ArrayType(T.LongType())).add("n_words", "long")
+    to = rows.select("doc_id", "key", "carried").schema.add("bands", T.ArrayType(T.LongType())).add("n_words", "long")
     return rows.mapInArrow(sign, to)
 
 
+def _likely(rows: DataFrame, by: str, wanted: DataFrame) -> DataFrame:
+    """The rows whose ``by`` may be in ``wanted`` (by), before a join that tells: all that are, and those whose hash of MARK_BITS is that of one. What is broadcast is 2^(MARK_BITS - 3) bytes at most."""
+    mark = F.shiftrightunsigned(F.xxhash64(by), 64 - MARK_BITS)
+    words = wanted.select(mark.alias("mark")).groupBy(F.shiftright("mark", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(mark & 63 AS int))")).alias("bits"))
+    words = words.groupBy(F.shiftright("word", 6).alias("high")).agg(F.map_from_entries(F.collect_list(F.struct(F.expr("word & 63").alias("low"), "bits"))).alias("bits"))
+    marks = words.select("high", F.expr("transform(sequence(0L, 63L), k -> coalesce(bits[k], 0L))").alias("words"))
+    found = rows.withColumn("mark", mark).withColumn("high", F.shiftright("mark", 12)).join(F.broadcast(marks), "high")
+    return found.where("getbit(words[cast(shiftright(mark, 6) & 63 AS int)], cast(mark & 63 AS int)) = 1").select(*rows.columns)
+
+
 def _shingled(docs: DataFrame, owners: DataFrame) -> DataFrame:
-    """(key, shingles, counts) of the texts of ``owners`` (key, doc_id), as bytes; counts are empty if all are 1."""
+    """(key, shingles, counts) of the texts of ``owners`` (key, doc_id), each key once, as bytes; counts are empty if all are 1."""
     schema = pa.schema([("key", pa.binary()), ("shingles", pa.binary()), ("counts", pa.binary())])
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -218,7 +229,7 @@ def _shingled(docs: DataFrame, owners: DataFrame) -> DataFrame:
                 ], schema=schema)
 
     rows = docs.select(id_of(F.col("doc_id")).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), text_key(F.col("text")).alias("key"))
-    rows = rows.join(owners, ["doc_id", "key"], "left_semi").select("key", "text")
+    rows = _likely(rows, "key", owners).join(owners, ["doc_id", "key"]).select("key", "text")  # a semi join would be pushed below the filter
     return rows.mapInArrow(make, "key binary, shingles binary, counts binary").dropDuplicates(["key"])
 
 
@@ -290,7 +301,7 @@ def agreement(kept: np.ndarray, plain: np.ndarray, repeats: np.ndarray, p: np.nd
 
 
 def _dealt(members: DataFrame, by: str, packs: int) -> DataFrame:
-    """The members of those ``by`` that have several components, with minor (not of the component with the most members) and pack, x and y, the group in which a row is compared.
+    """The members of those ``by`` that have several components, with pack, x and y, the group in which a row is compared.
 
     All of a small one are in one group, and many small ones in one pack. Of a larger one, the
     members of the largest component are dealt into blocks of about BLOCK and the others into blocks of their own;
@@ -310,7 +321,7 @@ def _dealt(members: DataFrame, by: str, packs: int) -> DataFrame:
     places = places.otherwise(F.concat(F.transform(to("majors"), lambda x: place(x, own)), with_others))
     rows = rows.withColumn("block", block).withColumn("place", F.explode(places))
     pack = F.when(F.col("small"), F.pmod(F.xxhash64(by), F.lit(packs))).otherwise(F.col(by))
-    return rows.withColumns({"pack": pack, "x": F.col("place.x"), "y": F.col("place.y")}).drop("place", "block", "top", "small", "majors", "minors")
+    return rows.withColumns({"pack": pack, "x": F.col("place.x"), "y": F.col("place.y")}).drop("place", "block", "minor", "top", "small", "majors", "minors")
 
 
 def _frequent(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -395,25 +406,32 @@ def may_link(shingles: list[np.ndarray], counts: list[np.ndarray], least: float)
 def _residual(members: DataFrame, sets: DataFrame, least: float, packs: int) -> DataFrame:
     """Links (a, b) between components, of texts in one bucket, as many as join what they join.
 
-    Members that share a first shingle with one of another component are found, and only they
-    are compared: by bucket or, of a bucket with more than WIDE of them outside its largest component, by bucket and first shingle.
+    The members of a bucket of up to BLOCK, which is one group anyway, are all compared. Of a larger one, members that share a first
+    shingle with one of another component are found, and only they are compared: by bucket or, if more
+    than WIDE of them are outside its largest component, by bucket and first shingle. The links are the same.
     """
-    rows = members.join(_mixed(members, "bucket"), "bucket", "left_semi")
-    texts = rows.select("key", "component").distinct()
-    concerned = keep(sets.join(texts, "key", "left_semi"), "concerned")
-    firsts = keep(_firsts(concerned, least).join(texts, "key"), "firsts")
-    firsts = firsts.join(_mixed(firsts, "first"), "first", "left_semi").select("key", "first")
-    found = rows.join(firsts, "key").select("bucket", "key", "component", F.xxhash64("bucket", "first").alias("near"))
-    found = keep(found.join(_mixed(found, "near"), "near", "left_semi").coalesce(max(1, packs // 2)), "found")
+    files = max(1, packs // 2)
+    rows = keep(members.join(_mixed(members, "bucket"), "bucket", "left_semi").select("bucket", "key", "component").coalesce(files), "mixed")
+    large = rows.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK).select("bucket")
+    many = keep(rows.join(large, "bucket", "left_semi").coalesce(files), "many")
+    texts = many.select("key", "component").distinct()
+    firsts = keep(_firsts(sets.join(texts, "key", "left_semi"), least).join(texts, "key").coalesce(files), "firsts")
+    shared = firsts.join(_mixed(firsts, "first"), "first", "left_semi").select("key", "first")
+    placed = keep(many.join(shared, "key").select("bucket", "key", "component", F.xxhash64("bucket", "first").alias("near")).coalesce(files), "placed")
+    found = keep(placed.join(_mixed(placed, "near"), "near", "left_semi").coalesce(files), "found")
 
     wide = found.select("bucket", "key", "component").distinct().groupBy("bucket", "component").agg(F.count("*").alias("n"))
     wide = wide.groupBy("bucket").agg((F.sum("n") - F.max("n")).alias("others")).where(F.col("others") > WIDE).select("bucket", F.lit(True).alias("wide"))
     dealt = found.join(wide, "bucket", "left").select(F.when(F.col("wide"), F.col("near")).otherwise(F.col("bucket")).alias("by"), "key", "component").distinct()
+    dealt = keep(dealt.coalesce(files), "dealt")
+    small = rows.join(large, "bucket", "left_anti").groupBy("bucket").agg(F.sort_array(F.collect_list(F.struct("key", "component"))).alias("members"))
+    small = small.groupBy("members").agg(F.min("bucket").alias("by")).select("by", F.inline("members"))  # of buckets with the same members one is compared
+    small = small.withColumns({"pack": F.pmod(F.xxhash64("by"), F.lit(packs)), "x": F.lit(0), "y": F.lit(0)})
 
     def compare(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("by", "ascending"), ("minor", "descending")]).combine_chunks()
+        table = table.sort_by("by").combine_chunks()
         data, counts, names = (table.column(n).to_pylist() for n in ("shingles", "counts", "component"))
-        value, minor = table.column("by").to_numpy(), table.column("minor").to_numpy(zero_copy_only=False)
+        value, code = table.column("by").to_numpy(), np.unique(np.array(names, dtype=object), return_inverse=True)[1]
         up: dict = {}
 
         def root(x: bytes) -> bytes:
@@ -429,7 +447,7 @@ def _residual(members: DataFrame, sets: DataFrame, least: float, packs: int) ->
                 continue
             shingles = [np.frombuffer(x, dtype=np.uint64) for x in data[i:j]]
             often = [_counts(x, len(y)) for x, y in zip(counts[i:j], shingles, strict=True)]
-            near = np.triu(may_link(shingles, often, least), 1) & minor[i:j, None]
+            near = np.triu(may_link(shingles, often, least), 1) & (code[i:j, None] != code[i:j])
             for p, q in np.argwhere(near).tolist():
                 x, y = root(names[i + p]), root(names[i + q])
                 if x != y and similarity(shingles[p], often[p], shingles[q], often[q]) >= least:
@@ -438,8 +456,10 @@ def _residual(members: DataFrame, sets: DataFrame, least: float, packs: int) ->
                     b.append(min(names[i + p], names[i + q]))
         return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
 
-    few = _dealt(dealt, "by", packs).join(concerned, "key").select("by", "component", "shingles", "counts", "minor", "pack", "x", "y")
-    return few.groupBy("pack", "x", "y").applyInArrow(compare, "a binary, b binary").distinct()
+    few = _dealt(dealt, "by", packs).unionByName(small).join(sets, "key").select("by", "component", "shingles", "counts", "pack", "x", "y")
+    links = keep(few.groupBy("pack", "x", "y").applyInArrow(compare, "a binary, b binary").distinct().coalesce(files), "links")
+    forget(rows, many, firsts, placed, found, dealt)
+    return links
 
 
 def near_duplicates(docs: DataFrame, least: float = LEAST, carried: Sequence[str] = ()) -> DataFrame:
@@ -448,25 +468,27 @@ def near_duplicates(docs: DataFrame, least: float = LEAST, carried: Sequence[str
     signed = keep(_signed(docs, list(carried)), "signed")
     rows = signed.count()
     files = max(1, -(-rows // FILE_DOCS))
-    texts = signed.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.first("kept").alias("kept"), F.first("bands").alias("bands"))
+    texts = signed.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.first("bands").alias("bands"))
     texts = keep(texts.withColumn("rank", F.xxhash64("key")).coalesce(files), "texts")
     placed = texts.where("bands is not null").select("key", "rank", F.explode("bands").alias("bucket"))
     # ranks are numbers of fixed size, so that they are aggregated by hash; should two texts have one rank, both are pivots
-    pivots = placed.groupBy("bucket").agg(F.min("rank").alias("pivot"), F.count("*").alias("n")).where("n > 1").select("bucket", "pivot")
-    members = keep(placed.join(pivots, "bucket").select("bucket", "key", "rank", "pivot").coalesce(files), "members")
+    pivots = keep(placed.groupBy("bucket").agg(F.min("rank").alias("pivot"), F.count("*").alias("n")).where("n > 1").select("bucket", "pivot").coalesce(files), "pivots")
+    members = keep(_likely(placed, "bucket", pivots).join(pivots, "bucket").select("bucket", "key", "rank", "pivot").coalesce(files), "members")
     pairs = members.where("rank != pivot").select(F.col("key").alias("a"), "pivot").distinct()
     pairs = pairs.join(texts.select(F.col("rank").alias("pivot"), F.col("key").alias("b")), "pivot").select("a", "b")
     wanted = members.select("key").distinct()
-    sets = keep(_shingled(docs, texts.join(wanted, "key", "left_semi").select("doc_id", "key")).coalesce(files), "sets")
+    owners = keep(texts.join(wanted, "key", "left_semi").select("doc_id", "key").coalesce(files), "owners")
+    sets = keep(_shingled(docs, owners).coalesce(files), "sets")
     first = components(_verified(pairs, sets, least), files)
     known = members.join(first, "key", "left").select("bucket", "key", F.coalesce("component", "key").alias("component"))
-    joined = components(_residual(known, sets, least, max(1, rows // PACK_DOCS)), files)
+    links = _residual(known, sets, least, max(1, rows // PACK_DOCS))
+    joined = components(links, files)
 
     classes = texts.select("key", "doc_id", "copies").join(first, "key", "left").withColumn("component", F.coalesce("component", "key"))
     classes = classes.join(joined.select(F.col("key").alias("component"), F.col("component").alias("whole")), "component", "left").withColumn("class_key", F.coalesce("whole", "component"))
     lowest = classes.groupBy("class_key").agg(F.min("doc_id").alias("class_id"))
     classes = keep(classes.join(lowest, "class_key").select("key", "class_key", "class_id", "copies").coalesce(files), "classes")
-    forget(texts, members, sets, first, joined)
+    forget(texts, pivots, members, owners, sets, first, links, joined)
     # a text of very many copies is joined by broadcast: there are at most 1 / HEAVY_SHARE of them
     heavy_from = max(HEAVY, int(rows * HEAVY_SHARE))
     heavy = classes.where(F.col("copies") >= heavy_from).select("key", F.col("class_key").alias("h_class_key"), F.col("class_id").alias("h_class_id"))

@@ -187,6 +187,25 @@ def test_near_duplicates_size_of_bucket(spark, monkeypatch, wide):
     assert {r.doc_id: r.class_id for r in got.collect()} == brute_classes(texts) == {0: 0, 1: 0, 2: 2}
 
 
+def test_near_duplicates_small_buckets(spark, monkeypatch):
+    """Members of buckets that are one group are compared without rows for their first shingles, and buckets of the same members once."""
+    made, first = [], minhash._firsts
+    monkeypatch.setattr(minhash, "_firsts", lambda sets, least: made.append(first(sets, least)) or made[-1])
+    monkeypatch.setattr(minhash, "forget", lambda *_: None)
+    words = [f"c{k}" for k in range(400)]
+    texts = {i: " ".join(words[: 200 + 8 * i][8 * i :]) for i in range(12)}
+    got = minhash.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string"))
+    assert {r.doc_id: r.class_id for r in got.collect()} == brute_classes(texts) and [x.count() for x in made] == [0]
+
+
+def test_likely(spark):
+    """What is wanted stays, once, whatever the hash of it, and what is left out is not wanted."""
+    rows, wanted = spark.range(20_000).withColumnRenamed("id", "k"), spark.range(0, 20_000, 7).withColumnRenamed("id", "k")
+    got = [r.k for r in minhash._likely(rows, "k", wanted).collect()]
+    assert len(got) == len(set(got)) < 3000 and set(got) >= set(range(0, 20_000, 7))
+    assert minhash._likely(rows, "k", wanted.where("k < 0")).count() == 0
+
+
 def test_first_shingles():
     """Alike texts have a first shingle in common, and pairs ruled out are unlike, in any order of shingles."""
     rng = np.random.default_rng(3)
