@@ -188,12 +188,12 @@ def test_near_duplicates_size_of_bucket(spark, monkeypatch, wide):
 
 
 def test_near_duplicates_small_buckets(spark, monkeypatch):
-    """Members of buckets that are one group are compared without rows for their first shingles, and buckets of the same members once."""
+    """Members of buckets that are one group are compared without rows for their first shingles, though they have several components."""
     made, first = [], minhash._firsts
     monkeypatch.setattr(minhash, "_firsts", lambda sets, least: made.append(first(sets, least)) or made[-1])
     monkeypatch.setattr(minhash, "forget", lambda *_: None)
-    words = [f"c{k}" for k in range(400)]
-    texts = {i: " ".join(words[: 200 + 8 * i][8 * i :]) for i in range(12)}
+    common = [f"p{k}" for k in range(140)]
+    texts = {i: " ".join(common + [f"q{i // 2}_{k}" for k in range(70)] + [f"r{i}"]) for i in range(20)}
     got = minhash.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string"))
     assert {r.doc_id: r.class_id for r in got.collect()} == brute_classes(texts) and [x.count() for x in made] == [0]
 
