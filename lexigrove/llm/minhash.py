@@ -18,12 +18,12 @@ of a bucket that lie in different components is looked for, whatever the bucket'
 at least that share of either text's weight in common, so if each text's shingles are put in one order, the first ones, as
 many as leave less than that share, have one in common. Members are dealt by these first shingles, rare ones being first, and
 those that share none with another component have no link to it. The others, and all members of a bucket of BLOCK or fewer, are compared on their whole
-shingle sets, by bucket or, if it has more than WIDE of them outside its largest component, by each first shingle in it,
-which finds the same links. Comparisons are dealt into blocks of bounded size, and members of the largest
+shingle sets, by bucket or, if it has more than WIDE of them outside its largest component, by each first shingle, of all such buckets at once,
+which finds the same links and may find one of texts that share no band. So there is a row for each first shingle of a text, but none for those in each of its buckets. Comparisons are dealt into blocks of bounded size, and members of the largest
 component are not compared with each other. A group of blocks
 returns only the links that join its parts, so links between texts of one class need not be listed,
-and no bucket is cut short or compared in one task. Only a pair that shares no band is never compared: of
-similarity 0.8, with probability 5e-5.
+and no bucket is cut short or compared in one task. Only a pair that shares no band may go uncompared: of
+similarity 0.8, with probability 5e-5. Links of up to FEW_EDGES edges are joined in one task, more of them in rounds.
 
 Defined cases: a null text is an empty text; a text of fewer than five words is
 one shingle; texts without words share a class with equal texts only; rows that
@@ -64,6 +64,8 @@ COLUMNS = 1 << 12
 #: Written tables have a file for so many documents or edges at most, so that small tables are not split into very many files.
 FILE_DOCS = 1 << 12
 FILE_EDGES = 1 << 17
+#: Edges whose components one task finds, in some 30 MB; those of more are found in rounds. The components are the same.
+FEW_EDGES = 1 << 16
 #: Small buckets of about so many documents are compared in one task's group.
 PACK_DOCS = 1 << 11
 #: Bits of a hash by which rows that cannot have a partner are left out before a join. Any number gives the same rows.
@@ -255,8 +257,30 @@ def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").select("a", "b", "a_shingles", "a_counts", "b_shingles", "b_counts").mapInArrow(verify, "a binary, b binary")
 
 
+def root(up: dict[bytes, bytes], x: bytes) -> bytes:
+    """The root of x in a forest, whose paths get shorter."""
+    while (above := up.get(x, x)) != x:
+        up[x] = up.get(above, above)
+        x = above
+    return x
+
+
+def _joined(edges: DataFrame) -> DataFrame:
+    """(key, component) of the vertices of up to FEW_EDGES edges, in one task."""
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        up: dict[bytes, bytes] = {}
+        for batch in batches:
+            for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
+                low, high = sorted((root(up, a), root(up, b)))
+                up[high] = up[low] = low
+        yield pa.RecordBatch.from_arrays([pa.array(list(up), pa.binary()), pa.array([root(up, x) for x in list(up)], pa.binary())], ["key", "component"])
+
+    return edges.coalesce(1).mapInArrow(join, "key binary, component binary")
+
+
 def components(edges: DataFrame, files: int, rounds: int = 60) -> DataFrame:
-    """(key, component) of all vertices of the edges (a, b), component being the smallest key of it: rounds of large-star and small-star until nothing moves. Each round is a written table, of few files if it has few edges; only counts and sums come to the driver."""
+    """(key, component) of all vertices of the edges (a, b), component being the smallest key of it: in one task if there are few, else by rounds of large-star and small-star until nothing moves. Each round is a written table, of few files if it has few edges; only counts and sums come to the driver."""
 
     def star(e: DataFrame, large: bool) -> DataFrame:
         if large:
@@ -272,6 +296,10 @@ def components(edges: DataFrame, files: int, rounds: int = 60) -> DataFrame:
 
     now = keep(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().coalesce(files), "edges")
     before = state(now)
+    if before[0] <= FEW_EDGES:
+        found = keep(_joined(now), "components")
+        forget(now)
+        return found
     for _ in range(rounds):
         files = max(1, -(-before[0] // FILE_EDGES))  # neither star has more edges than it is given
         half = keep(star(now, True).coalesce(files), "star")
@@ -354,7 +382,7 @@ def first_shingles(shingle: np.ndarray, count: np.ndarray, frequent: tuple[np.nd
 
 
 def _firsts(sets: DataFrame, least: float) -> DataFrame:
-    """(key, first) of the first shingles of each text."""
+    """The first shingles of each text, a row each with its key and component."""
     frequent = _frequent(sets)
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -363,9 +391,9 @@ def _firsts(sets: DataFrame, least: float) -> DataFrame:
             for data, counts in zip(batch.column("shingles").to_pylist(), batch.column("counts").to_pylist(), strict=True):
                 shingle = np.frombuffer(data, dtype=np.uint64)
                 out.append(first_shingles(shingle, _counts(counts, len(shingle)), frequent, least).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(out, pa.list_(pa.int64()))], ["key", "firsts"])
+            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("component"), pa.array(out, pa.list_(pa.int64()))], ["key", "component", "firsts"])
 
-    return sets.mapInArrow(make, "key binary, firsts array<long>").select("key", F.explode("firsts").alias("first"))
+    return sets.mapInArrow(make, "key binary, component binary, firsts array<long>").select("key", "component", F.explode("firsts").alias("first"))
 
 
 def _mixed(rows: DataFrame, by: str) -> DataFrame:
@@ -406,24 +434,23 @@ def may_link(shingles: list[np.ndarray], counts: list[np.ndarray], least: float)
 def _residual(members: DataFrame, sets: DataFrame, least: float, packs: int) -> DataFrame:
     """Links (a, b) between components, of texts in one bucket, as many as join what they join.
 
-    The members of a bucket of up to BLOCK, which is one group anyway, are all compared. Of a larger one, members that share a first
-    shingle with one of another component are found, and only they are compared: by bucket or, if more
-    than WIDE of them are outside its largest component, by bucket and first shingle. The links are the same.
+    The members of a bucket of up to BLOCK, which is one group anyway, are all compared. Of larger ones, members that share a first
+    shingle with one of another component, be it of another bucket, are found, and only they are compared: by bucket or, if more
+    than WIDE of them are outside its largest component, by first shingle. No link of a bucket is lost by this.
     """
     files = max(1, packs // 2)
     rows = keep(members.join(_mixed(members, "bucket"), "bucket", "left_semi").select("bucket", "key", "component").coalesce(files), "mixed")
     large = rows.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK).select("bucket")
     many = keep(rows.join(large, "bucket", "left_semi").coalesce(files), "many")
     texts = many.select("key", "component").distinct()
-    firsts = keep(_firsts(sets.join(texts, "key", "left_semi"), least).join(texts, "key").coalesce(files), "firsts")
-    shared = firsts.join(_mixed(firsts, "first"), "first", "left_semi").select("key", "first")
-    placed = keep(many.join(shared, "key").select("bucket", "key", "component", F.xxhash64("bucket", "first").alias("near")).coalesce(files), "placed")
-    found = keep(placed.join(_mixed(placed, "near"), "near", "left_semi").coalesce(files), "found")
-
-    wide = found.select("bucket", "key", "component").distinct().groupBy("bucket", "component").agg(F.count("*").alias("n"))
-    wide = wide.groupBy("bucket").agg((F.sum("n") - F.max("n")).alias("others")).where(F.col("others") > WIDE).select("bucket", F.lit(True).alias("wide"))
-    dealt = found.join(wide, "bucket", "left").select(F.when(F.col("wide"), F.col("near")).otherwise(F.col("bucket")).alias("by"), "key", "component").distinct()
-    dealt = keep(dealt.coalesce(files), "dealt")
+    firsts = keep(_firsts(sets.join(texts, "key"), least).coalesce(files), "firsts")
+    shared = keep(firsts.join(_mixed(firsts, "first"), "first", "left_semi").select("key", "component", "first").coalesce(files), "shared")
+    found = keep(many.join(shared, "key", "left_semi").coalesce(files), "found")
+
+    wide = found.groupBy("bucket", "component").agg(F.count("*").alias("n")).groupBy("bucket").agg((F.sum("n") - F.max("n")).alias("others")).where(F.col("others") > WIDE).select("bucket")
+    broad = found.join(wide, "bucket", "left_semi").select("key")
+    by_first = shared.join(broad, "key", "left_semi").select(F.xxhash64("first").alias("by"), "key", "component")
+    dealt = keep(found.join(wide, "bucket", "left_anti").select(F.col("bucket").alias("by"), "key", "component").unionByName(by_first).coalesce(files), "dealt")
     small = rows.join(large, "bucket", "left_anti").groupBy("bucket").agg(F.sort_array(F.collect_list(F.struct("key", "component"))).alias("members"))
     small = small.groupBy("members").agg(F.min("bucket").alias("by")).select("by", F.inline("members"))  # of buckets with the same members one is compared
     small = small.withColumns({"pack": F.pmod(F.xxhash64("by"), F.lit(packs)), "x": F.lit(0), "y": F.lit(0)})
@@ -433,23 +460,16 @@ def _residual(members: DataFrame, sets: DataFrame, least: float, packs: int) ->
         data, counts, names = (table.column(n).to_pylist() for n in ("shingles", "counts", "component"))
         value, code = table.column("by").to_numpy(), np.unique(np.array(names, dtype=object), return_inverse=True)[1]
         up: dict = {}
-
-        def root(x: bytes) -> bytes:
-            while (above := up.get(x, x)) != x:
-                up[x] = up.get(above, above)
-                x = above
-            return x
-
         a, b = [], []
         start = np.flatnonzero(np.append(True, value[1:] != value[:-1]))
         for i, j in zip(start.tolist(), [*start[1:].tolist(), len(value)], strict=True):
-            if len({root(x) for x in names[i:j]}) == 1:
+            if len({root(up, x) for x in names[i:j]}) == 1:
                 continue
             shingles = [np.frombuffer(x, dtype=np.uint64) for x in data[i:j]]
             often = [_counts(x, len(y)) for x, y in zip(counts[i:j], shingles, strict=True)]
             near = np.triu(may_link(shingles, often, least), 1) & (code[i:j, None] != code[i:j])
             for p, q in np.argwhere(near).tolist():
-                x, y = root(names[i + p]), root(names[i + q])
+                x, y = root(up, names[i + p]), root(up, names[i + q])
                 if x != y and similarity(shingles[p], often[p], shingles[q], often[q]) >= least:
                     up[x] = y
                     a.append(max(names[i + p], names[i + q]))
@@ -458,7 +478,7 @@ def _residual(members: DataFrame, sets: DataFrame, least: float, packs: int) ->
 
     few = _dealt(dealt, "by", packs).unionByName(small).join(sets, "key").select("by", "component", "shingles", "counts", "pack", "x", "y")
     links = keep(few.groupBy("pack", "x", "y").applyInArrow(compare, "a binary, b binary").distinct().coalesce(files), "links")
-    forget(rows, many, firsts, placed, found, dealt)
+    forget(rows, many, firsts, shared, found, dealt)
     return links
 
 

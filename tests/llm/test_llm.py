@@ -198,6 +198,61 @@ def test_near_duplicates_small_buckets(spark, monkeypatch):
     assert {r.doc_id: r.class_id for r in got.collect()} == brute_classes(texts) and [x.count() for x in made] == [0]
 
 
+def kept_rows(monkeypatch):
+    """Gets the name and the rows of each table that the search keeps."""
+    made, keep = [], minhash.keep
+
+    def kept(df, name):
+        table = keep(df, name)
+        made.append((name, table.count()))
+        return table
+
+    monkeypatch.setattr(minhash, "keep", kept)
+    return made
+
+
+def passage_pairs(n):
+    """Texts that share a passage and so several buckets, in pairs of near copies."""
+    common = [f"p{k}" for k in range(140)]
+    return {i: " ".join(common + [f"q{i // 2}_{k}" for k in range(24)] + [f"r{i}"]) for i in range(n)}
+
+
+def at_most_firsts(made):
+    """From the members of large buckets on, no table has more rows than there are members or first shingles of texts."""
+    sizes = dict(made)
+    after = [n for _, n in made[[name for name, _ in made].index("many") :]]
+    return 0 < max(after) <= max(sizes["many"], sizes["firsts"])
+
+
+@pytest.mark.parametrize("wide", [16, 1 << 20])
+def test_pipeline_rows_of_large_buckets(spark, sf, monkeypatch, wide):
+    """The near-duplicate stage makes no rows for each first shingle in each bucket of a text."""
+    monkeypatch.setattr(minhash, "BLOCK", 8)
+    monkeypatch.setattr(minhash, "WIDE", wide)
+    made, texts = kept_rows(monkeypatch), passage_pairs(80)
+    got = dict(corpus_pipeline.STAGES)["near_duplicates"](spark, spark.createDataFrame(rows_of(texts.items()), SCHEMA), sf)
+    assert sorted(r.doc_id for r in got.collect()) == list(range(0, 80, 2)) and at_most_firsts(made)
+
+
+def test_components(spark, monkeypatch):
+    """One task and rounds find the components of plain search, and only many edges are joined in rounds."""
+    rng = np.random.default_rng(4)
+    pairs = [(k, k + 1) for k in range(100, 140)] + rng.integers(200, 400, (120, 2)).tolist() + [(7, 7)]
+    up = {int(x): int(x) for pair in pairs for x in pair if pair[0] != pair[1]}
+    for _ in up:
+        for x, y in pairs:
+            if x != y:
+                up[x] = up[y] = min(up[x], up[y])
+    edges = spark.createDataFrame([(bytes([x >> 8, x & 255]), bytes([y >> 8, y & 255])) for x, y in pairs], "a binary, b binary")
+    made = kept_rows(monkeypatch)
+    for few in (1 << 16, 0):
+        monkeypatch.setattr(minhash, "FEW_EDGES", few)
+        found = [(int.from_bytes(r.key), int.from_bytes(r.component)) for r in minhash.components(edges, 1).collect()]
+        assert sorted(found) == sorted(up.items())
+        assert ("star" in [name for name, _ in made]) == (not few)
+        assert minhash.components(edges.limit(0), 1).count() == 0
+
+
 def test_likely(spark):
     """What is wanted stays, once, whatever the hash of it, and what is left out is not wanted."""
     rows, wanted = spark.range(20_000).withColumnRenamed("id", "k"), spark.range(0, 20_000, 7).withColumnRenamed("id", "k")
