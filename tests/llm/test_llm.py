@@ -234,6 +234,15 @@ def test_pipeline_rows_of_large_buckets(spark, sf, monkeypatch, wide):
     assert sorted(r.doc_id for r in got.collect()) == list(range(0, 80, 2)) and at_most_firsts(made)
 
 
+def test_near_duplicates_rows_of_large_buckets(spark, monkeypatch, tmp_path):
+    """op2 makes no rows for each first shingle in each bucket of a text."""
+    monkeypatch.setattr(minhash, "BLOCK", 8)
+    made, texts = kept_rows(monkeypatch), passage_pairs(80)
+    spark.createDataFrame(rows_of(texts.items()), SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.class_id for r in queries.op2_near_duplicates(spark, str(tmp_path)).collect()}
+    assert got == {i: i - i % 2 for i in texts} and at_most_firsts(made)
+
+
 def test_components(spark, monkeypatch):
     """One task and rounds find the components of plain search, and only many edges are joined in rounds."""
     rng = np.random.default_rng(4)
