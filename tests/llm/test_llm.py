@@ -608,6 +608,15 @@ def test_packing_size_of_bucket(spark, monkeypatch, tmp_path, heavy):
     assert sorted(bins) == [0, 1, 2] and bins[0] != bins[1]
 
 
+def test_packing_rows_of_large_buckets(spark, monkeypatch, tmp_path):
+    """op6 makes no rows for each first shingle in each bucket of a text, and near copies are in two bins."""
+    monkeypatch.setattr(minhash, "BLOCK", 8)
+    made, texts = kept_rows(monkeypatch), passage_pairs(80)
+    spark.createDataFrame([(i, t, None) for i, t in texts.items()], "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    bins = {r.doc_id: r.bin for r in queries.op6_packing(spark, str(tmp_path)).collect()}
+    assert sorted(bins) == sorted(texts) and all(bins[i] != bins[i + 1] for i in range(0, 80, 2)) and at_most_firsts(made)
+
+
 def test_packing_ties(spark, monkeypatch):
     """Near copies of one doc_id and source have the same bins however many copies a text may have before it is joined in another way, and however rows are split."""
     words = " ".join(f"w{k}" for k in range(200))
