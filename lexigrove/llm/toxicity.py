@@ -11,8 +11,8 @@ which only decides and never scores.
 
 Training uses a bounded sample of labelled rows: of those of at most LONGEST words, the SAMPLE of lowest hash of their
 doc_id, and of these, in that order, as many as have WORDS words together. Their words are
-written to the shared folder and the driver reads them a few texts at a time, keeping two
-bytes a word, so 2 * WORDS bytes at most. Scoring reads every whole text. As a table of what each slot adds to each filter is computed
+written to the shared folder and one task reads them a few texts at a time, keeping two
+bytes a word, so 2 * WORDS bytes at most, and trains; the driver only gets the model. Scoring reads every whole text. As a table of what each slot adds to each filter is computed
 once, scoring is a few table lookups a word.
 
 Defined cases: null and empty texts, and texts without letters, have the score of
@@ -23,6 +23,7 @@ only, all scores are that share, kept under 0.5 without any; a null doc_id is no
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 from itertools import chain
@@ -35,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexigrove.llm import _text
-from lexigrove.llm._store import bound_batches, filesystem, new_path
+from lexigrove.llm._store import bound_batches, filesystem, new_path, write_whole
 
 SAMPLE = 8000
 LONGEST = 1 << 20
@@ -254,7 +255,7 @@ def held_out(doc_id: Column) -> Column:
 
 
 def fitted(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """Trains on labelled documents that are not held out."""
+    """Trains on labelled documents that are not held out, in a task, so that the driver's memory holds one model and nothing that training takes."""
     known = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(~held_out(F.col("doc_id")))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).select(F.col("doc_id").alias("labelled"), "toxic")
     rows = docs.join(F.broadcast(chosen), F.col("doc_id") == F.col("labelled")).select("doc_id", "lang", "toxic", F.coalesce("text", F.lit("")).alias("text"))
@@ -272,6 +273,20 @@ def fitted(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     # one row of a repeated doc_id, chosen before any of them leaves its executor
     path = new_path(docs.sparkSession, "training")
     read_rows.groupBy("doc_id").agg(F.min(F.struct("words", "lang", "toxic")).alias("row")).select("doc_id", "row.*", (F.octet_length("row.words") / 8).cast("long").alias("size")).repartitionByRange(1, "doc_id").sortWithinPartitions(F.xxhash64("doc_id"), "doc_id").write.parquet(path)
+    at = f"{path}-model"
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _ in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([write_whole(at, lambda out: out.write(pickle.dumps(_learned(path))))])], ["bytes"])
+
+    docs.sparkSession.range(0, 1, 1, 1).mapInArrow(learn, "bytes long").collect()
+    store, place = filesystem(at)
+    with store.open_input_stream(place, compression=None) as f:
+        return pickle.loads(f.read())
+
+
+def _learned(path: str) -> Model:
+    """Trains on the written rows."""
     toxic, langs, size = [], [], []
     for batch in _batches(path, ["lang", "toxic", "size"]):
         langs += batch.column("lang").to_pylist()
@@ -292,7 +307,7 @@ def fitted(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 
 
 def _batches(path: str, columns: list[str], rows: int = 64) -> Iterator[pa.RecordBatch]:
-    """The rows of a written table, a few at a time, so that the driver holds no whole column of words."""
+    """The rows of a written table, a few at a time, so that no whole column of words is held."""
     store, folder = filesystem(path)
     for info in sorted(store.get_file_info(fs.FileSelector(folder)), key=lambda x: x.path):
         if info.path.endswith(".parquet"):
@@ -303,11 +318,12 @@ def _batches(path: str, columns: list[str], rows: int = 64) -> Iterator[pa.Recor
 def scored(docs: DataFrame, model: Model, name: str = "toxicity") -> DataFrame:
     """All rows of docs with the score of their whole text under a name that docs has not."""
     bound_batches(docs.sparkSession)
-    sent = docs.sparkSession.sparkContext.broadcast((model, model.tables()))
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # its tables are larger and made where they are used
     names = docs.columns
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, tables = sent.value
+        own = sent.value
+        tables = own.tables()
         for batch in batches:
             for part in _text.chunks(batch, "text"):
                 row, hashes = words(*_text.buffers(part.column("text")))

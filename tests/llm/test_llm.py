@@ -6,6 +6,7 @@ import hashlib
 import math
 import os
 import struct
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -867,6 +868,20 @@ def test_toxicity_odd_labels(spark):
     assert len(got) == 303 and all(r.held_out is not None and 0 <= r.toxicity <= 1 for r in got)
 
 
+def test_toxicity_spares_the_driver(spark):
+    """The driver gets the model and does not hold what training takes."""
+    rows = [(i, " ".join(f"w{(i * 7 + k) % 50}" for k in range(60)) + " vile" * (i % 3 == 0), "en") for i in range(80)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(80)], "doc_id long, toxic int")
+    tracemalloc.start()
+    try:
+        model = toxicity.fitted(docs, labels)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert model.owner.any() and peak < 4 * model.embedding.nbytes
+
+
 def test_scores_pool_all_windows():
     """Scores are those of the largest response over every window, also where only inner windows are of unknown words."""
     rng = np.random.default_rng(3)
