@@ -42,10 +42,26 @@ class Analyzer:
         return found
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """A table of fewer files than cores is dealt out before costly expressions."""
+#: Bytes of a table's files that one task has the texts of, so that what a task holds does not grow with the table.
+TASK_BYTES = 8 << 20
+
+
+def tasks_for(df: DataFrame) -> int:
+    """Tasks to which a table in files is dealt: a multiple of the cores, by the bytes of the files; 0 for a table without files."""
+    if not df.inputFiles():
+        return 0
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(k).stats().sizeInBytes())) for k in range(leaves.size())]
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if 0 < len(df.inputFiles()) < cores else df
+    return cores * max(1, -(-sum(x for x in sizes if x < 2**62) // (cores * TASK_BYTES)))  # what is not in files may have no known size
+
+
+def spread(df: DataFrame, by: str | None = None) -> DataFrame:
+    """A table of fewer files than cores is dealt out before costly expressions; by a column, any table in files is, so that grouping by that column deals out no tokens."""
+    tasks = tasks_for(df)
+    if by is not None:
+        return df.repartition(tasks, by) if tasks else df
+    return df.repartition(tasks) if 0 < len(df.inputFiles()) < df.sparkSession.sparkContext.defaultParallelism else df
 
 
 def with_lemma(words: DataFrame, lemmata: DataFrame | dict[str, str] | None) -> DataFrame:
@@ -58,10 +74,10 @@ def with_lemma(words: DataFrame, lemmata: DataFrame | dict[str, str] | None) ->
     return words.join(lemmata.select("word", "lemma"), "word", "left").withColumn("token", X.casefold(F.coalesce("lemma", "word"))).drop("lemma")
 
 
-def analyze(docs: DataFrame, config: Analyzer | None = None, id_col: str = "doc_id") -> DataFrame:
-    """tokens(doc_id, pos, word, token); positions are dense and count indexed words only."""
+def analyze(docs: DataFrame, config: Analyzer | None = None, id_col: str = "doc_id", together: bool = False) -> DataFrame:
+    """tokens(doc_id, pos, word, token); positions are dense and count indexed words only. ``together`` deals out texts by their id, for tokens that are then grouped by it."""
     config = config or Analyzer()
-    arrays = spread(docs.select(id_col, "text")).select(id_col, config.words(F.col("text")).alias("words"))
+    arrays = spread(docs.select(id_col, "text"), id_col if together else None).select(id_col, config.words(F.col("text")).alias("words"))
     # an inner explode would add a filter on the array's size, for which the whole chain is evaluated once more, before rows are dealt out
     rows = arrays.select(id_col, F.posexplode_outer("words").alias("pos", "word")).where("pos is not null").withColumn("pos", F.col("pos").cast("long"))
     return with_lemma(rows, config.lemmata).select(id_col, "pos", "word", "token")

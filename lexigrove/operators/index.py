@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexigrove.operators.analyze import Analyzer, analyze
-from lexigrove.sources.tables import Index, load_index, save_docs, save_table
+from lexigrove.sources.tables import TABLES, Index, load_index, save_dealt, save_docs, save_table
 
 
 def term_freq(tokens: DataFrame) -> DataFrame:
@@ -59,15 +59,21 @@ def index_of(tokens: DataFrame) -> Index:
     return Index(tokens, posted, terms(posted), docs, docs.agg(F.count("*").alias("n")))
 
 
-def build_index(docs: DataFrame, config: Analyzer | None = None, path: str | None = None, buckets: int = 16) -> Index:
-    """The index of documents. With a path each table is made from the written one before it, so no text is analysed twice, and the saved index is returned; without, it is a plan."""
-    tokens = analyze(docs, config)
+def build_index(docs: DataFrame, config: Analyzer | None = None, path: str | None = None, buckets: int = 16, names: tuple[str, ...] = (*TABLES, "docs")) -> Index:
+    """The index of documents. With a path the saved index is returned, without it a plan. Texts are dealt out by their id and analysed for tokens and again for postings, which costs less than to deal out tokens; terms and documents are made from the written postings. Of a saved index only the tables named may be built."""
+    tokens = analyze(docs, config, together=True)
     if path is None:
         return index_of(tokens)
-    posted = save_table(postings(save_table(tokens, "tokens", path, buckets)), "postings", path, buckets)
-    save_table(terms(posted), "terms", path, buckets)
-    save_docs(universe(posted), path, buckets)
-    return load_index(docs.sparkSession, path)
+    spark = docs.sparkSession
+    if "tokens" in names:
+        save_dealt(tokens, "tokens", path, buckets)
+    if "postings" in names:
+        save_dealt(postings(tokens), "postings", path, buckets)
+    if "terms" in names:
+        save_table(terms(spark.read.parquet(f"{path}/postings")), "terms", path, buckets)
+    if "docs" in names:
+        save_docs(universe(spark.read.parquet(f"{path}/postings")), path, buckets)
+    return load_index(spark, path, names, buckets)
 
 
 def nested(posted: DataFrame, per_row: int = 10_000) -> DataFrame:

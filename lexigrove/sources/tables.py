@@ -32,11 +32,11 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 @dataclass
 class Index:
-    tokens: DataFrame  # doc_id, pos, word, token
-    postings: DataFrame  # token, doc_id, tf, norm_tf
-    terms: DataFrame  # token, cf, df
-    docs: DataFrame  # doc_id of each document with a posting
-    n: DataFrame  # one row: n, the number of those
+    tokens: DataFrame | None  # doc_id, pos, word, token
+    postings: DataFrame | None  # token, doc_id, tf, norm_tf
+    terms: DataFrame | None  # token, cf, df
+    docs: DataFrame | None  # doc_id of each document with a posting
+    n: DataFrame | None  # one row: n, the number of those
     buckets: int | None = None  # into which saved tables are partitioned by token
 
 
@@ -51,6 +51,12 @@ def save_table(table: DataFrame, name: str, path: str, buckets: int) -> DataFram
     return table.sparkSession.read.parquet(f"{path}/{name}")
 
 
+def save_dealt(table: DataFrame, name: str, path: str, buckets: int) -> DataFrame:
+    """The same of a table whose tasks are small: each writes its own rows of each bucket, so no row is dealt out again and a very frequent token stays spread over files. Rows are sorted by bucket alone, which takes no comparisons of tokens."""
+    table.withColumn("bucket", bucket("token", buckets)).sortWithinPartitions("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/{name}")
+    return table.sparkSession.read.parquet(f"{path}/{name}")
+
+
 def save_docs(docs: DataFrame, path: str, buckets: int) -> None:
     """Writes the documents of an index, their number and the number of buckets."""
     docs.write.mode("overwrite").parquet(f"{path}/docs")
@@ -65,9 +71,13 @@ def save_index(index: Index, path: str, buckets: int = 16) -> None:
     save_docs(index.docs, path, buckets)
 
 
-def load_index(spark: SparkSession, path: str) -> Index:
+def load_index(spark: SparkSession, path: str, names: tuple[str, ...] = (*TABLES, "docs"), buckets: int | None = None) -> Index:
+    """A saved index; of one that has only the tables named, the others are None, and without documents the number of buckets is to be given."""
+    found = (spark.read.parquet(f"{path}/{n}") if n in names else None for n in (*TABLES, "docs"))
+    if "docs" not in names:
+        return Index(*found, None, buckets)
     meta = spark.read.parquet(f"{path}/meta")
-    return Index(*(spark.read.parquet(f"{path}/{n}") for n in (*TABLES, "docs")), meta.select("n"), meta.first()["buckets"])
+    return Index(*found, meta.select("n"), meta.first()["buckets"])
 
 
 def pruned(index: Index, name: str, tokens: list[str]) -> DataFrame:

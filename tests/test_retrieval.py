@@ -1,4 +1,6 @@
 import math
+import os
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -278,3 +280,41 @@ def test_stream(spark, tmp_path):
     stream.stop()
     got = ingest.ingested(spark, str(tmp_path / "index"))
     assert scores(S.free_search(got, ["science", "labor"])) == [("d2", 0.352183), ("d3", 0.176091), ("d1", 0.088046)]
+
+
+def exchanges(df):
+    """The keys by which a plan deals out rows, and why."""
+    found = re.findall(r"Exchange hashpartitioning\((.*?), \d+\), (\w+)", df._jdf.queryExecution().executedPlan().toString())
+    return [(re.sub(r"#\d+L?", "", keys), why) for keys, why in found]
+
+
+TEXTS = [("doc_id", "REPARTITION_BY_NUM")]
+
+
+def test_tasks_follow_bytes(sf, spark, monkeypatch):
+    """What one task has the texts of does not grow with the table: more bytes are more tasks, and an id stays in one."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    assert A.tasks_for(docs) == 4 and A.tasks_for(spark.createDataFrame(DOCS, "doc_id string, text string")) == 0
+    monkeypatch.setattr(A, "TASK_BYTES", 10_000)
+    assert A.tasks_for(docs) == 4 * -(-os.path.getsize(f"{sf}/documents.parquet") // 40_000) > 4
+    dealt = A.spread(docs.union(docs), "doc_id").select("doc_id", F.spark_partition_id().alias("p")).groupBy("doc_id").agg(F.count_distinct("p").alias("parts"), F.count("*").alias("n"))
+    assert {(r.parts, r.n) for r in dealt.select("parts", "n").distinct().collect()} == {(1, 2)}
+    assert A.spread(docs).select(F.spark_partition_id().alias("p")).distinct().count() > 4
+
+
+#: Queries on the index, and the tables that are built for them.
+NEED = [
+    ("phrase_repeat", "tokens"),
+]
+
+
+@pytest.mark.parametrize(("name", "needed"), NEED)
+def test_index_of_need(spark, sf, monkeypatch, tmp_path, name, needed):
+    """Only the tables that a query reads are built, and for tokens and postings nothing but texts is dealt out."""
+    monkeypatch.setattr(queries, "_SAVED", {})
+    monkeypatch.setattr(tables, "scratch", lambda *_: str(tmp_path / "index"))
+    dealt, save = [], tables.save_dealt
+    monkeypatch.setattr(I, "save_dealt", lambda table, *args: (dealt.append(exchanges(table)), save(table, *args))[1])
+    queries.queries()[name](spark, sf)
+    assert {x.name for x in (tmp_path / "index").iterdir()} == set(needed.split())
+    assert dealt == [TEXTS]
