@@ -7,12 +7,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexigrove.operators.index import idf, nested
+from lexigrove.operators.index import idf, nested, with_stats
 
 
 def tfidf_long(posted: DataFrame, stats: DataFrame, n: DataFrame) -> DataFrame:
     """token, doc_id, norm_tf, idf (natural logarithm over all documents), tfidf."""
-    rows = posted.select("token", "doc_id", "norm_tf").join(idf(stats.select("token", "df"), n, "ln"), "token")
+    rows = idf(with_stats(posted.select("token", "doc_id", "norm_tf"), stats.select("token", "df")), n, "ln")
     return rows.select("token", "doc_id", "norm_tf", "idf", (F.col("norm_tf") * F.col("idf")).alias("tfidf"))
 
 

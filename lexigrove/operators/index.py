@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from lexigrove.operators.analyze import Analyzer, analyze
 from lexigrove.sources.tables import TABLES, Index, load_index, save_dealt, save_docs, save_table
 
+#: Postings of a token, as a part of all, from which on it is frequent; so at most so many tokens are.
+FREQUENT = 1 << 18
+
 
 def term_freq(tokens: DataFrame) -> DataFrame:
     return tokens.groupBy("doc_id", "token").agg(F.count("*").alias("tf"))
@@ -49,6 +52,15 @@ def idf(stats: DataFrame, n: DataFrame, base: str = "log10") -> DataFrame:
     return stats.crossJoin(F.broadcast(n.select(F.col("n")))).withColumn("idf", log(F.col("n") / F.col("df"))).drop("n")
 
 
+def with_stats(posted: DataFrame, stats: DataFrame) -> DataFrame:
+    """posted with the columns of stats(token, df, ...). Statistics of frequent tokens are broadcast, so that only the rows of rare ones are dealt out by token, none of which has many."""
+    every = stats.agg(F.sum("df").alias("every"))
+    stats = stats.crossJoin(F.broadcast(every)).withColumn("often", F.col("df") * FREQUENT >= F.col("every")).drop("every")
+    often, seldom = stats.where("often").drop("often"), stats.where("not often").drop("often")
+    rare = posted.join(F.broadcast(often.select("token")), "token", "left_anti")
+    return posted.join(F.broadcast(often), "token").unionByName(rare.join(seldom, "token"))
+
+
 def lemma_words(tokens: DataFrame) -> DataFrame:
     return tokens.groupBy("token").agg(F.array_sort(F.collect_set("word")).alias("words"))
 

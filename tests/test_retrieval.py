@@ -319,3 +319,14 @@ def test_index_of_need(spark, sf, monkeypatch, tmp_path, name, needed):
     queries.queries()[name](spark, sf)
     assert {x.name for x in (tmp_path / "index").iterdir()} == set(needed.split())
     assert dealt == [TEXTS]
+
+
+@pytest.mark.parametrize("part", [1, 3, 1 << 18])
+def test_statistics_of_frequent_tokens(index, monkeypatch, part):
+    """Whichever tokens count as frequent, the rows are those of the plain join, and rows of frequent tokens are not dealt out."""
+    monkeypatch.setattr(I, "FREQUENT", part)
+    got = I.with_stats(index.postings, index.terms)
+    plain = index.postings.join(index.terms, "token")
+    assert sorted(got.collect()) == sorted(plain.select(got.columns).collect()) and got.count() == 7
+    plan = export.tfidf_long(index.postings, index.terms, index.n)._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"BroadcastHashJoin \[token#\d+\], \[token#\d+\], LeftAnti", plan) and re.search(r"BroadcastHashJoin \[token#\d+\], \[token#\d+\], Inner", plan)
