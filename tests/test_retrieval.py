@@ -306,6 +306,7 @@ def test_tasks_follow_bytes(sf, spark, monkeypatch):
 NEED = [
     ("phrase_repeat", "tokens"),
     ("doc_freq", "postings terms"),
+    ("phrase_2", "tokens"),
 ]
 
 
