@@ -41,7 +41,8 @@ def collapse_hyphens(text: Column) -> Column:
 
 def drop_elisions(text: Column) -> Column:
     """'An- und Abreise' becomes 'Abreise', 'Spielspaß und -freude' becomes 'Spielspaß'."""
-    text = F.regexp_replace(text, "(?U)" + elision_head(WORD_JAVA), "")
+    # from a word's first letter and without going back, so that a long word is read once
+    text = F.regexp_replace(text, "(?U)" + elision_head(rf"(?<!{WORD_JAVA}){WORD_JAVA}+"), "")
     return F.regexp_replace(text, "(?U)" + elision_tail(WORD_JAVA), "")
 
 
@@ -62,8 +63,9 @@ def delete_hyphens(text: Column) -> Column:
 
 
 def normalize_hyphens(text: Column) -> Column:
-    text = F.translate(collapse_hyphens(text), "/", " ")
-    return delete_hyphens(split_compounds(join_breaks(drop_elisions(text))))
+    """All rules in their order; a text without any hyphen, to which none of them applies, is spared them."""
+    rules = delete_hyphens(split_compounds(join_breaks(drop_elisions(F.translate(collapse_hyphens(text), "/", " ")))))
+    return F.when(text.rlike(HYPHEN), rules).otherwise(F.translate(text, "/", " "))
 
 
 def tokens(text: Column) -> Column:

@@ -57,11 +57,11 @@ def tasks_for(df: DataFrame) -> int:
 
 
 def spread(df: DataFrame, by: str | None = None) -> DataFrame:
-    """A table of fewer files than cores is dealt out before costly expressions; by a column, any table in files is, so that grouping by that column deals out no tokens."""
+    """A table of so few files that cores would idle is dealt out before costly expressions; by a column, any table in files is, so that grouping by that column deals out no tokens."""
     tasks = tasks_for(df)
     if by is not None:
         return df.repartition(tasks, by) if tasks else df
-    return df.repartition(tasks) if 0 < len(df.inputFiles()) < df.sparkSession.sparkContext.defaultParallelism else df
+    return df.repartition(tasks) if 0 < len(df.inputFiles()) < 4 * df.sparkSession.sparkContext.defaultParallelism else df
 
 
 def with_lemma(words: DataFrame, lemmata: DataFrame | dict[str, str] | None) -> DataFrame:

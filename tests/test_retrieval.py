@@ -1,6 +1,7 @@
 import math
 import os
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -350,3 +351,24 @@ TOGETHER = [
 def test_documents_together(spark, sf, name):
     """Only texts are dealt out, by their document: neither tokens nor counts of them are again."""
     assert exchanges(queries.queries()[name](spark, sf)) == TEXTS
+
+
+def test_hyphens_spared(spark):
+    """A text without a hyphen is spared the rules of hyphens, with the same result, and a long word is read once: by each of its letters it would take minutes."""
+    texts = ["", "a/b  und  c", "Haus und Hof, usw.", "a/b - c", "An- und Abreise", "ä–\nö", "Soft­ware", "x-- y", "und -tail-", "a_1- und b", "1-2.", "é-, f", None]
+    rules = lambda t: X.delete_hyphens(X.split_compounds(X.join_breaks(X.drop_elisions(F.translate(X.collapse_hyphens(t), "/", " ")))))
+    head = lambda t: F.regexp_replace(t, "(?U)" + X.elision_head(r"\w"), "")
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select(X.normalize_hyphens(F.col("t")).alias("a"), rules(F.col("t")).alias("b"), X.drop_elisions(F.col("t")).alias("c"), F.regexp_replace(head(F.col("t")), "(?U)" + X.elision_tail(r"\w"), "").alias("d"))
+    assert all(r.a == r.b and r.c == r.d for r in rows.collect())
+    plan = rows.select("a")._jdf.queryExecution().optimizedPlan().toString()
+    assert "CASE WHEN" in plan
+    began = time.time()
+    long = spark.createDataFrame([("x" * 200_000 + " a-b",)], "t string").select(F.length(X.normalize_hyphens(F.col("t"))).alias("n")).first()
+    assert long.n == 200_003 and time.time() - began < 10
+
+
+def test_few_files_are_dealt_out(spark, sf, tmp_path):
+    """Files a few more than the cores would leave most of these idle while the last are read."""
+    spark.read.parquet(f"{sf}/documents.parquet").repartition(5).write.parquet(str(tmp_path / "documents.parquet"))
+    plan = queries.queries()["analyze_tokens"](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange RoundRobinPartitioning(4)" in plan
