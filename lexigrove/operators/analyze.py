@@ -56,9 +56,9 @@ def tasks_for(df: DataFrame) -> int:
     return cores * max(1, -(-sum(x for x in sizes if x < 2**62) // (cores * TASK_BYTES)))  # what is not in files may have no known size
 
 
-def spread(df: DataFrame, by: str | None = None) -> DataFrame:
-    """A table of so few files that cores would idle is dealt out before costly expressions; by a column, any table in files is, so that grouping by that column deals out no tokens."""
-    tasks = tasks_for(df)
+def spread(df: DataFrame, by: str | None = None, share: int = 1) -> DataFrame:
+    """A table of so few files that cores would idle is dealt out before costly expressions; by a column, any table in files is, to so many times the tasks, so that grouping by that column deals out no tokens."""
+    tasks = share * tasks_for(df)
     if by is not None:
         return df.repartition(tasks, by) if tasks else df
     return df.repartition(tasks) if 0 < len(df.inputFiles()) < 4 * df.sparkSession.sparkContext.defaultParallelism else df
@@ -74,10 +74,10 @@ def with_lemma(words: DataFrame, lemmata: DataFrame | dict[str, str] | None) ->
     return words.join(lemmata.select("word", "lemma"), "word", "left").withColumn("token", X.casefold(F.coalesce("lemma", "word"))).drop("lemma")
 
 
-def analyze(docs: DataFrame, config: Analyzer | None = None, id_col: str = "doc_id", together: bool = False) -> DataFrame:
-    """tokens(doc_id, pos, word, token); positions are dense and count indexed words only. ``together`` deals out texts by their id, for tokens that are then grouped by it."""
+def analyze(docs: DataFrame, config: Analyzer | None = None, id_col: str = "doc_id", together: int = 0) -> DataFrame:
+    """tokens(doc_id, pos, word, token); positions are dense and count indexed words only. ``together`` deals out texts by their id, for tokens that are then grouped by it: 1 to the usual tasks, 2 to twice as many, of half the size."""
     config = config or Analyzer()
-    arrays = spread(docs.select(id_col, "text"), id_col if together else None).select(id_col, config.words(F.col("text")).alias("words"))
+    arrays = spread(docs.select(id_col, "text"), id_col if together else None, together or 1).select(id_col, config.words(F.col("text")).alias("words"))
     # an inner explode would add a filter on the array's size, for which the whole chain is evaluated once more, before rows are dealt out
     rows = arrays.select(id_col, F.posexplode_outer("words").alias("pos", "word")).where("pos is not null").withColumn("pos", F.col("pos").cast("long"))
     return with_lemma(rows, config.lemmata).select(id_col, "pos", "word", "token")

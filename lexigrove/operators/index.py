@@ -73,7 +73,7 @@ def index_of(tokens: DataFrame) -> Index:
 
 def build_index(docs: DataFrame, config: Analyzer | None = None, path: str | None = None, buckets: int = 16, names: tuple[str, ...] = (*TABLES, "docs")) -> Index:
     """The index of documents. With a path the saved index is returned, without it a plan. Texts are dealt out by their id and analysed for tokens and again for postings, which costs less than to deal out tokens; terms and documents are made from the written postings. Of a saved index only the tables named may be built."""
-    tokens = analyze(docs, config, together=True)
+    tokens = analyze(docs, config, together=1)
     if path is None:
         return index_of(tokens)
     spark = docs.sparkSession

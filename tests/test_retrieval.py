@@ -355,6 +355,12 @@ def test_documents_together(spark, sf, name):
     assert exchanges(queries.queries()[name](spark, sf)) == TEXTS
 
 
+def test_smaller_tasks(spark, sf):
+    """Four hash tables at once are of half as many texts each."""
+    plan = queries.queries()["lemma_ambiguity"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert re.findall(r"doc_id#\d+L?, (\d+)\), REPARTITION_BY_NUM", plan) == ["8"]
+
+
 def test_hyphens_spared(spark):
     """A text without a hyphen is spared the rules of hyphens, with the same result, and a long word is read once: by each of its letters it would take minutes."""
     texts = ["", "a/b  und  c", "Haus und Hof, usw.", "a/b - c", "An- und Abreise", "ä–\nö", "Soft­ware", "x-- y", "und -tail-", "a_1- und b", "1-2.", "é-, f", None]
